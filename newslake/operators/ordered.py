@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from newslake.session import cut, partitions
 
-_COPIES = "part int, copy_id bigint, keep_id bigint, open boolean, first_key binary, last_key binary"
+_COPIES = "part int, label string, copy_id bigint, keep_id bigint, open boolean, first_key binary, last_key binary"
 _RUNS = "part int, k string, v string, start bigint, stop bigint, n bigint, edge string, k_hash binary, v_hash binary"
 
 
@@ -32,62 +33,62 @@ def sorted_parts(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
 
 
-def _scan_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_copies(batches: Iterator[pa.RecordBatch], heads_too: bool) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    schema = pa.schema([("part", pa.int32()), ("copy_id", pa.int64()), ("keep_id", pa.int64()), ("open", pa.bool_()), ("first_key", pa.binary()), ("last_key", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("label", pa.string()), ("copy_id", pa.int64()), ("keep_id", pa.int64()), ("open", pa.bool_()), ("first_key", pa.binary()), ("last_key", pa.binary())])
     first = last = None
-    head, opened = 0, True
+    head, begun, opened = 0, 0, True
     for batch in batches:
         if not batch.num_rows:
             continue
         k, ids = batch.column(0).to_pandas(), batch.column(1).to_pandas()
         new = k.ne(k.shift())
         new.iloc[0] = last is None or k.iloc[0] != last
-        heads = ids.where(new).ffill()
-        goes_on = new.cumsum() == 0
-        heads = heads.where(~goes_on, head).astype("int64")
+        at = np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
+        heads = np.where(at >= 0, ids.to_numpy()[at], head)
         if first is None:
-            first, begun = k.iloc[0], ids.iloc[0]
-        in_first = (heads == begun) if opened else pd.Series(False, index=k.index)
-        opened = bool(opened and in_first.iloc[-1])
-        out = ~new | in_first
-        last, head = k.iloc[-1], int(heads.iloc[-1])
-        if out.any():
-            m = int(out.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), pa.array(ids[out], pa.int64()), pa.array(heads[out], pa.int64()), pa.array(in_first[out], pa.bool_()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
+            first, begun = k.iloc[0], int(ids.iloc[0])
+        in_first = (new.cumsum() == int(new.iloc[0] and last is None)) if opened else new & False
+        opened = opened and bool(in_first.iloc[-1])
+        out = (~new | in_first | heads_too).to_numpy()
+        last, head = k.iloc[-1], int(heads[-1])
+        if m := int(out.sum()):
+            label = batch.column(2).filter(pa.array(out))
+            yield pa.RecordBatch.from_arrays([pa.array([part] * m, pa.int32()), label, pa.array(ids[out], pa.int64()), pa.array(heads[out], pa.int64()), pa.array(in_first[out], pa.bool_()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
     if first is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([head], pa.int64()), pa.array([True], pa.bool_()), pa.array([_hash(first)], pa.binary()), pa.array([_hash(last)], pa.binary())], schema=schema)
+        # The partition's own row: where its first run began, in `copy_id` null; the head of its last run, in `keep_id`.
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([str(begun)]), pa.array([None], pa.int64()), pa.array([head], pa.int64()), pa.array([opened]), pa.array([_hash(first)], pa.binary()), pa.array([_hash(last)], pa.binary())], schema=schema)
 
 
-def adjacent_copies(df: DataFrame, key: Column, id_: Column) -> DataFrame:
-    """(copy_id, keep_id): every row whose full key another row with a smaller id has, with the smallest such id.
+def adjacent_copies(df: DataFrame, key: Column, id_: Column, label: Column | None = None, heads_too: bool = False) -> DataFrame:
+    """(label, copy_id, keep_id): every row whose full key another row with a smaller id has, with the smallest such id.
 
-    Rows with a null key are no one's copies. Ids have to be unique; repeated ids come out as copies of themselves
-    only if their keys are equal (the pair (x, x) is left out). An empty input gives an empty result.
+    With `heads_too` also every other row, with its own id twice. Rows with a null key or id are left out. Ids have to be
+    unique among equal keys. `label` (text) is carried along. An empty input gives an empty result.
     """
     spark = df.sparkSession
-    rows = sorted_parts(df.select(key.alias("k"), id_.cast("long").alias("i")).where("k is not null and i is not null"), "k", "i")
-    scanned = cut(rows.mapInArrow(_scan_copies, _COPIES))
-    edges = sorted(scanned.where("copy_id is null").select("part", "keep_id", "first_key", "last_key").collect())  # one row a partition
-    firsts = {r.part: r.keep_id for r in scanned.where("open and copy_id is not null").groupBy("part").agg(F.min("keep_id").alias("keep_id")).collect()}
+    rows = df.select(key.alias("k"), id_.cast("long").alias("i"), (F.lit(None) if label is None else label).cast("string").alias("l")).where("k is not null and i is not null")
+    scanned = cut(sorted_parts(rows, "k", "i").mapInArrow(lambda it: _scan_copies(it, heads_too), _COPIES))
+    edges = scanned.where("copy_id is null").select("part", "keep_id", "label", "open", "first_key", "last_key").collect()  # one row a partition
     moved, carry = [], None
-    for part, head, first, last in edges:
-        first, last = bytes(first), bytes(last)
-        begun = firsts[part]
-        if carry and carry[0] == first:
-            moved.append((part, carry[1]))
-            head = carry[1] if first == last and head == begun else head
-        carry = (last, head)
-    found = scanned.where("copy_id is not null")
+    for r in sorted(edges, key=lambda r: r.part):
+        head, goes_on = r.keep_id, carry is not None and carry[0] == bytes(r.first_key)
+        if goes_on:
+            moved.append((r.part, carry[1]))
+            head = carry[1] if r.open else head  # the whole partition is one run
+        carry = (bytes(r.last_key), head)
+    found = scanned.where("copy_id is not null").select("part", "label", "copy_id", "keep_id", "open")
     if moved:
-        fix = spark.createDataFrame(moved, "part int, moved bigint")
-        found = found.join(F.broadcast(fix), "part", "left").withColumn("keep_id", F.when(F.col("open"), F.coalesce("moved", "keep_id")).otherwise(F.col("keep_id")))
-    return found.where("copy_id <> keep_id").select("copy_id", "keep_id")
+        fix = F.broadcast(spark.createDataFrame(moved, "part int, moved bigint"))
+        found = found.join(fix, "part", "left").withColumn("keep_id", F.when(F.col("open"), F.coalesce("moved", "keep_id")).otherwise(F.col("keep_id")))
+    if not heads_too:
+        found = found.where("copy_id <> keep_id")
+    return found.select("label", "copy_id", "keep_id")
 
 
-def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -115,7 +116,7 @@ def _scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
             else:
                 runs = pd.concat([held, runs], ignore_index=True)
         same = runs.k.eq(runs.k.shift(-1))
-        runs["stop"] = runs.start.shift(-1).where(same).astype("Int64")
+        runs["stop"] = runs.start.astype("Int64").shift(-1).where(same)
         done = runs.iloc[:-1]
         held = runs.iloc[-1:][["k", "v", "start", "n"]].reset_index(drop=True)
         if len(done):
@@ -169,3 +170,51 @@ def value_runs(df: DataFrame, key: Column, value: Column, at: Column, tie: Colum
     fix = spark.createDataFrame(fixes, "part int, edge string, new_stop bigint, new_n bigint, gone boolean")
     out = scanned.join(F.broadcast(fix), ["part", "edge"], "left").where("gone is null or not gone")
     return out.select("k", "v", "start", F.coalesce("new_stop", "stop").alias("stop"), F.coalesce("new_n", "n").alias("n"))
+
+
+def _scan_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    part, key, run = TaskContext.get().partitionId(), None, 0
+    total: dict[str, int] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = batch.to_pandas()
+        x.columns = ["k", "id", "size"]
+        before = x.groupby("k", sort=False)["size"].cumsum() - x["size"]
+        if key is not None:
+            before = before.where(x.k != key, before + run)
+        last = x.k.iloc[-1]
+        key, run = last, int(before.iloc[-1] + x["size"].iloc[-1])
+        for k, n in x.groupby("k", sort=False)["size"].sum().items():
+            total[k] = total.get(k, 0) + int(n)
+        out = pd.DataFrame({"part": part, "k": x.k, "id": x.id, "size": x["size"], "before": before})
+        yield pa.RecordBatch.from_pandas(out, schema=_SUMS_ARROW, preserve_index=False)
+    if total:
+        out = pd.DataFrame({"part": part, "k": list(total), "id": None, "size": list(total.values()), "before": None})
+        yield pa.RecordBatch.from_pandas(out, schema=_SUMS_ARROW, preserve_index=False)
+
+
+_SUMS_ARROW = pa.schema([("part", pa.int32()), ("k", pa.string()), ("id", pa.int64()), ("size", pa.int64()), ("before", pa.int64())])
+
+
+def prefix_sums(df: DataFrame, key: Column, order: Column, id_: Column, size: Column) -> tuple[DataFrame, DataFrame]:
+    """((k, id, size, before), (k, total)): per key the sum of `size` over the rows before each one in (order, id).
+
+    Rows with a null key, id or size are left out. One sum a key and partition is all that goes through the driver: at
+    most partitions + keys rows.
+    """
+    spark = df.sparkSession
+    rows = df.select(key.alias("k"), order.alias("o"), id_.cast("long").alias("id"), size.cast("long").alias("size")).where("k is not null and id is not null and size is not null")
+    scanned = cut(sorted_parts(rows, "k", "o", "id").select("k", "id", "size").mapInArrow(_scan_sums, "part int, k string, id bigint, size bigint, before bigint"))
+    edges = scanned.where("id is null").select("k", "part", "size").collect()
+    run: dict[str, int] = {}
+    offsets = []
+    for k, part, size_ in sorted(edges, key=lambda r: r.part):
+        offsets.append((k, part, run.get(k, 0)))
+        run[k] = run.get(k, 0) + size_
+    shift = spark.createDataFrame(offsets, "k string, part int, shift bigint")
+    totals = spark.createDataFrame(list(run.items()), "k string, total bigint")
+    out = scanned.where("id is not null").join(F.broadcast(shift), ["k", "part"]).select("k", "id", "size", (F.col("before") + F.col("shift")).alias("before"))
+    return out, totals
