@@ -20,15 +20,17 @@ MOST_SOURCES = 100_000
 def budgets(totals: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """(source, available, target_share, max_repeats, budget): tokens each source is to give.
 
-    `total` is the size asked for, all tokens of the listed sources once unless given. A source gives its share of it, or
-    max_repeats times all it has if that is less: sources that reach their budgets then stand to each other as their targets.
+    `total` is the size asked for; unless given, the largest at which every source that has tokens reaches its share. A source
+    gives its share of the total, or max_repeats times all it has if that is less: where a larger total is asked for, the
+    sources that reach their budgets still stand to each other as their targets, and the report says what the others reached.
     Repeated rows of `targets` count once; null shares or repeats and shares of 0 or less give nothing.
     """
     wanted = targets.select("source", F.col("target_share").cast("double"), F.greatest("max_repeats", F.lit(0)).cast("long").alias("max_repeats")).where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     have = wanted.join(totals.select(F.col("k").alias("source"), F.col("total").alias("available")), "source", "left").fillna(0, ["available", "max_repeats", "target_share"])
-    size = F.lit(total).cast("double") if total is not None else F.sum("available").over(_all())
+    most = F.when((F.col("available") > 0) & (F.col("max_repeats") > 0) & (F.col("target_share") > 0), F.col("available") * F.col("max_repeats") / F.col("target_share"))
+    size = F.lit(total).cast("double") if total is not None else F.coalesce(F.min(most).over(_all()), F.lit(0.0))
     ask = F.greatest(F.col("target_share"), F.lit(0.0)) * size
-    return have.withColumn("budget", F.least(F.round(ask), F.col("available") * F.col("max_repeats")).cast("long"))
+    return have.withColumn("budget", F.least(F.floor(ask + 1e-6), F.col("available") * F.col("max_repeats")).cast("long"))
 
 
 def _all():  # noqa: ANN202
