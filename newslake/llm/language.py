@@ -143,7 +143,7 @@ def segments(texts: list[str], keep: list[str] | None = None) -> Segments:
 
 
 class Automaton:
-    """A suffix automaton that grows symbol by symbol; `table` gives it as a dense array."""
+    """A suffix automaton that grows symbol by symbol."""
 
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
@@ -190,24 +190,38 @@ class Automaton:
                 state = nxt[to]
         return n + (state is not root)
 
-    def table(self) -> np.ndarray:
-        """(states, SYMBOLS): the next state, or, where there is none, the root's with a phrase mark."""
+    def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Its transitions, state by state: how many, on which symbols, to which states."""
         nxt = self.next
-        table = np.full((len(nxt), SYMBOLS), _PHRASE, np.int32)
-        for c, to in nxt[0].items():
-            table[:, c] = to | _PHRASE
-        rows = np.repeat(np.arange(len(nxt)), [len(x) for x in nxt])
-        table[rows, np.fromiter((c for x in nxt for c in x), np.int64)] = np.fromiter((to for x in nxt for to in x.values()), np.int64)
-        return table
+        return np.array([len(x) for x in nxt], np.uint8), np.fromiter((c for x in nxt for c in x), np.uint8), np.fromiter((to for x in nxt for to in x.values()), np.int32)
 
 
 class _Flat:
-    """Automata stacked into one table."""
+    """Automata of several languages: packed where they travel, one dense table where they are used.
 
-    def __init__(self, tables: list[np.ndarray]):
-        self.sizes = [len(t) for t in tables]
+    table[state, symbol] is the next state, or, where there is none, the root's with a phrase mark.
+    """
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.parts = parts
+        self.sizes = [len(p[0]) for p in parts]
         self.base = np.cumsum([0] + self.sizes[:-1])
-        self.flat = np.concatenate([(t & _PHRASE) | ((t & (_PHRASE - 1)) + b) for t, b in zip(tables, self.base)]).ravel().astype(np.int32)
+        self._flat: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_flat": None}
+
+    @property
+    def flat(self) -> np.ndarray:
+        if self._flat is None:
+            out = np.empty((sum(self.sizes), SYMBOLS), np.int32)
+            for (count, symbols, to), n, base in zip(self.parts, self.sizes, self.base.tolist()):
+                root = np.full(SYMBOLS, base | _PHRASE, np.int32)
+                root[symbols[: count[0]]] = (to[: count[0]] + base) | _PHRASE
+                out[base : base + n] = root
+                out[base + np.repeat(np.arange(n), count), symbols] = to + base
+            self._flat = out.ravel()
+        return self._flat
 
 
 def phrases(tables: _Flat, seg: Segments, rows: np.ndarray) -> np.ndarray:
@@ -313,7 +327,7 @@ def _agreeing(seg: Segments, per: dict[str, list[int]], fit_on: dict[str, list[i
     return {x: sorted(rows) for x, rows in out.items()}
 
 
-def _built(seg: Segments, rows: list[int], size: int) -> np.ndarray:
+def _built(seg: Segments, rows: list[int], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The automaton of segments in a mixed-up order, up to `size` symbols; what it already parses in long phrases is passed over."""
     out, n = Automaton(), 0
     for i in sorted(rows, key=lambda i: (i * 2654435761 & 0xFFFFFFFF, i)):
@@ -323,7 +337,7 @@ def _built(seg: Segments, rows: list[int], size: int) -> np.ndarray:
             n += len(x) + 1
         if n >= size:
             break
-    return out.table()
+    return out.packed()
 
 
 def labelled_sample(rows: DataFrame, label: Column, rows_a_language: int = FIT_ROWS) -> list[tuple[str, str]]:
