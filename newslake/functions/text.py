@@ -38,3 +38,8 @@ def squeezed(text: Column) -> Column:
 def seconds(ts: Column) -> Column:
     """Whole epoch seconds (UTC) of a timestamp with or without zone."""
     return F.unix_seconds(ts.cast("timestamp"))
+
+
+def moment(at) -> Column:  # noqa: ANN001
+    """A literal timestamp without zone, so that comparisons with such columns reach the scan."""
+    return F.lit(str(at)).cast("timestamp_ntz")
