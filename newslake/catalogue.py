@@ -295,7 +295,7 @@ def gkg_extract(spark: SparkSession, d: str) -> DataFrame:
 
 def feed_parse(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "headlines").where("title is not null and url is not null")
-    body = F.concat(F.lit("\n<rss><channel><item><title>"), F.replace("title", F.lit("<"), F.lit("&lt;")), F.lit("</title><link>"), F.col("url"), F.lit("?utm_source=x#top</link></item></channel></rss>"))
+    body = F.concat(F.lit("\n<rss><channel><item><title>"), F.replace("title", F.lit("<"), F.lit("&lt;")), F.lit("</title><link>"), F.col("url"), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_source=x#top</link></item></channel></rss>"))
     return feeds.parsed(h.select(F.col("row_id").cast("string").alias("url"), F.encode(body, "utf-8").alias("body")), dt.datetime(2026, 10, 1)).select(F.col("url").cast("long").alias("row_id"), "format", "item_url")
 
 
@@ -389,7 +389,7 @@ rates as (select domain, count(*) as k, avg(inc) filter (age <= 2) as recent, av
 q as (select domain, case when day - last >= 6 and base >= 1 then 'dark' when base >= 3 and recent < 0.5 * base then 'thinning' end as why,
   cast(round_even(base, 0) as bigint) as baseline, cast(round_even(recent, 0) as bigint) as recent, last, n as rows from snap join rates using (domain) where day = (select max(day) from snap) and k >= 3)"""
 _GAPS = f"""g as (select site, round(floor(epoch(timestamp '{NOW}' - min(t)) / 60) / count(*) / 60, 6) as gap_hours from (
-  select site, url, min(ts) as t from blogs_posts where ts is not null and site is not null group by all qualify row_number() over (partition by site order by t desc, url) <= 10) group by site)"""
+  select * from (select site, url, min(ts) as t from blogs_posts where ts is not null and site is not null group by site, url) qualify row_number() over (partition by site order by t desc, url) <= 10) group by site)"""
 _STATES = "us as (select src, platform, domain, count(*) as n, min(ts) as first, max(ts) as last from unified_headlines group by all)"
 _SITES = "s as (select domain, cast(sum(n) as bigint) as n, min(\"first\") as \"first\", max(\"last\") as \"last\" from sources group by domain)"
 
@@ -442,7 +442,7 @@ from s where not exists (select 1 from e where e.domain is not distinct from s.d
   select ts, title, flag from f where ts < timestamp '2026-09-01' union all select ts, title, copy_news from u where src <> 'blogs' and copy_news <> 255 and ts >= timestamp '2026-09-01') where {_has('bridges')} group by month""",
     "dirty_days": f"""with {_UNIFIED}, w as (select cast(ts as date) as day, src, count(*) as n from u group by all), o as (select cast(ts as date) as day, src, count(*) as n from unified_headlines group by all),
 c as (select coalesce(w.day, o.day) as day from w full join o on w.day = o.day and w.src = o.src where coalesce(w.n, 0) <> coalesce(o.n, 0))
-select distinct day from (select cast(c.day + k as date) as day from c, (select unnest(range(-7, 8)) as k) union all select cast(date '2026-09-28' - k as date) from (select unnest(range(0, 4)) as k)) where day between date '2026-09-01' and date '2026-09-28'""",
+select distinct day from (select cast(c.day + cast(k as int) as date) as day from c, (select unnest(range(-7, 8)) as k) union all select cast(date '2026-09-28' - cast(k as int) as date) from (select unnest(range(0, 4)) as k)) where day between date '2026-09-01' and date '2026-09-28'""",
     "quiet_report": f"with {_QUIET} select * from q where why is not null",
     "quiet_stop_groups": f"with {_QUIET} select last, string_agg(domain, ',' order by domain) as sites from q where why = 'dark' group by last having count(*) >= 2",
     "seed_snapshots": f"""with {_H}, w as (select domain, cast(date_trunc('week', ts) as date) as monday, count(*) as rows, max(cast(ts as date)) as last from h where domain is not null group by all),
