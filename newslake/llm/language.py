@@ -11,7 +11,7 @@ phrase mark), so all segments of an Arrow batch are parsed in lockstep, one nump
 from __future__ import annotations
 
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -280,8 +280,13 @@ def fit(labelled: list[tuple[str, str]], budget: int = FIT_SYMBOLS) -> Model:
     label = np.array(langs, object)[seg.text] if len(seg.n) else np.zeros(0, object)
     ok = seg.n >= np.where(seg.script == 1, LEAST_LATIN, LEAST_OTHER)
     by: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for i in np.flatnonzero(ok).tolist():
-        by[int(seg.script[i])][label[i]].append(i)
+    votes: dict[bytes, Counter] = defaultdict(Counter)  # the same segment under several labels belongs to the commonest
+    said = {i: seg.symbols[seg.offset[i] : seg.offset[i] + seg.length[i]].tobytes() for i in np.flatnonzero(ok).tolist()}
+    for i, x in said.items():
+        votes[x][label[i]] += 1
+    for i, x in said.items():
+        if label[i] == max(votes[x].items(), key=lambda v: (v[1], v[0]))[0]:
+            by[int(seg.script[i])][label[i]].append(i)
     weight: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
     for script, per in by.items():
         for x, rows in per.items():

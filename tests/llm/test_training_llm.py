@@ -177,7 +177,7 @@ def test_mixture(spark):
     got = chosen.collect()
     assert len({x.doc_id for x in got}) == len(got) and all(x.tokens == size[x.doc_id] for x in got)
     assert sorted((x.doc_id, x.repeats) for x in got) == sorted((x.doc_id, x.repeats) for x in mixing.mixture(df, targets)[0].collect())
-    assert {x.doc_id for x in got} != {x.doc_id for x in mixing.mixture(df, targets, seed=1)[0].collect()}
+    assert {(x.doc_id, x.repeats) for x in got} != {(x.doc_id, x.repeats) for x in mixing.mixture(df, targets, seed=1)[0].collect()}
     _, big = mixing.mixture(df, targets, total=10**6)
     assert {x.source: x.tokens for x in big.collect() if x.source == "small"}["small"] == 4 * sum(n for i, n in size.items() if i < 600 and i % 10 == 9)
     assert mixing.mixture(df.limit(0), targets)[0].count() == 0
