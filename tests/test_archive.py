@@ -201,3 +201,24 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(t).where("day = date'2026-09-05'").count() == k
     with pytest.raises(RuntimeError):
         jobs.replace_days(one, t, k + 1)
+
+
+def test_polling_and_listings(spark):
+    board = spark.createDataFrame([(2, "tech", "a", "A", 5), (1, "news", "a", "AA", 7), (3, "tech", "a", None, None), (1, "x", "b", "B", None)], "place int, category string, subdomain string, name string, subscribers int")
+    got = {x.subdomain: (x.name, x.subscribers, x.categories) for x in collect.leaderboard(board).collect()}
+    assert got == {"a": ("AA", 7, "news, tech"), "b": ("B", None, "x")}
+    found = spark.createDataFrame([("d", "sitemap", "s1", 3, "ok"), ("d", "sitemap", "s2", 9, "ok"), ("d", "sitemap", "s3", 99, "http 403"), ("d", "feed", "f", 1, "ok"), ("e", "feed", "g", 0, "blocked")], "domain string, kind string, url string, items int, label string")
+    assert {x.domain: (x.sitemap, x.feeds, x.blocked) for x in collect.best_sitemaps(found).collect()} == {"d": ("s2", 1, "http 403"), "e": (None, 0, "blocked")}
+    day = lambda n: T0 + dt.timedelta(days=n)
+    index = spark.createDataFrame([("changed", day(5)), ("same", day(1)), ("new", day(5)), ("old", day(-90)), ("gone", day(9))], "site string, lastmod timestamp_ntz")
+    state = spark.createDataFrame([("changed", day(1), "", None, "ok"), ("same", day(1), "", None, "ok"), ("own", day(1), "x.example", day(0), "ok"), ("gone", day(1), "", None, "blocked")], "site string, lastmod timestamp_ntz, domain string, due timestamp_ntz, status string")
+    now, horizon = F.lit(str(day(6))).cast("timestamp_ntz"), F.lit(str(day(-30))).cast("timestamp_ntz")
+    assert {x.site: x.reason for x in collect.poll_queue(index, state, now, horizon).collect()} == {"changed": "changed", "new": "new", "own": "due"}
+    feeds_ = spark.createDataFrame([("d", "https://d/search/?f=rss", "d", True), ("d", "https://x.d/feed", "x.d", True), ("e", "https://e/feed", "e", True), ("f", "https://f", "f", False)], "domain string, url string, host string, enabled boolean")
+    assert sorted(x.group for x in collect.feed_groups(feeds_).collect()) == ["blox", "blox", "e"]
+    caps = spark.createDataFrame([(f"c{i:02}", "u", "feed", "t") for i in range(5)] + [("c01", "u", "feed", "other")], "capture string, url string, kind string, title string")
+    assert sorted((x.capture, x.title) for x in collect.capture_rows(caps, 2).collect()) == [("c00", "t"), ("c01", "other"), ("c02", "t"), ("c04", "t")]
+    log = spark.createDataFrame([("a", "ok", day(0)), ("a", "error", day(5)), ("b", "304", day(5)), ("c", "error", day(5))], "feed string, label string, ts timestamp_ntz")
+    assert {x.feed for x in collect.due(log, now, 48).collect()} == {"a", "c"}
+    fetch = spark.createDataFrame([(304, None, 0, None), (200, "t/o", 0, None), (200, None, 9, "Just a moment..."), (404, None, 9, "x"), (200, None, 0, ""), (200, "", 9, " <!DOCTYPE html>"), (200, "", 9, "<rss>")], "http int, error string, size int, head string")
+    assert [x.o for x in fetch.select(collect.classify_fetch(F.col("http"), F.col("error"), F.col("size"), F.coalesce("head", F.lit(""))).alias("o")).collect()] == ["304", "error", "blocked", "http 404", "empty", "html", "ok"]
