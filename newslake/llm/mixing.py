@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from newslake.llm.tokens import TOKENIZER, count_tokens
 from newslake.operators.ordered import prefix_sums
-from newslake.session import small
+from newslake.session import cut, small
 
 #: More sources than this are joined by a shuffle.
 MOST_SOURCES = 100_000
@@ -46,7 +46,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     chosen. report: (source, target_share, reached_share, target_tokens, tokens, documents, most_repeats, epochs).
     """
     wanted = small(targets.select("source").where("source is not null").distinct(), MOST_SOURCES)
-    counted = count_tokens(documents.join(wanted, "source", "left_semi"), tokenizer).where("tokens > 0")
+    counted = cut(count_tokens(documents.join(wanted, "source", "left_semi"), tokenizer).where("tokens > 0"))  # else the range bounds' sample counts them again
     summed, totals = prefix_sums(counted, F.col("source"), F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id"), F.col("tokens"))
     plan = budgets(totals, targets, total).withColumn("epochs", F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0))
     plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
