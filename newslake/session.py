@@ -43,7 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="newslake-ckpt-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="newslake-ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -55,16 +56,4 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
-def columns_free(df: DataFrame, *names: str) -> tuple[str, ...]:
-    """`names`, each prefixed with underscores until no column of `df` has it (extra columns may clash)."""
-    have = {c.lower() for c in df.columns}
-    out = []
-    for n in names:
-        while n.lower() in have:
-            n = f"_{n}"
-        have.add(n.lower())
-        out.append(n)
-    return tuple(out)
-
-
 SF_DEFAULT = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
