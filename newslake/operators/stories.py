@@ -36,21 +36,19 @@ def with_key(rows: DataFrame, labels: DataFrame, title: str = "title", key: str
     return out.withColumn(key, F.col("_key")).drop("_key")
 
 
-def with_previous(rows: DataFrame, keys: list[str], out: str, order: tuple[str, ...] = ("ts", "url", "row_id")) -> DataFrame:
-    """`rows` with the ts of the row before, by `order`, among those of equal `keys`; null for the first.
+def with_previous(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """`rows` with the ts of the row before, by (ts, url, row_id), among those of equal `keys`; null for the first.
 
-    A window over a key would put a story of any size into one task, so it runs over (key, day); each day's first row
-    takes the last ts of the key's latest day before, from a table of one row a key and day.
+    A window over a key would put a story of any size into one task. Here rows are first combined to one a key and ts, with
+    the row that leads it; only those, at most one a batch time, pass through a window. The leader of a ts takes the ts
+    before, every other row its own; the join back is an ordinary one that AQE splits where a key is hot.
     """
-    day = F.to_date("ts")
-    marked = rows.withColumn("_day", day)
-    w = Window.partitionBy(*keys, "_day").orderBy(*order)
-    marked = marked.withColumn("_prev", F.lag("ts").over(w)).withColumn("_first", F.row_number().over(w) == 1)
-    days = rows.select(*keys, day.alias("_day"), "ts").groupBy(*keys, "_day").agg(F.max("ts").alias("_last"))
-    before = days.withColumn("_before", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_day"))).drop("_last").where("_before is not null")
-    on = [marked[k].eqNullSafe(before[k]) for k in [*keys, "_day"]]
-    joined = marked.join(before, on, "left").select(*(marked[c] for c in marked.columns), before["_before"])
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_prev"))).drop("_day", "_prev", "_first", "_before")
+    lead = F.struct("url", "row_id")
+    names = [f"_k{i}" for i in range(len(keys))]
+    slots = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("ts").alias("_t"), lead.alias("_l")).groupBy(*names, "_t").agg(F.min("_l").alias("_lead"))
+    per = slots.withColumn("_before", F.lag("_t").over(Window.partitionBy(*names).orderBy("_t")))
+    joined = rows.join(per, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip([*keys, "ts"], [*names, "_t"])], "left")
+    return joined.withColumn(out, F.when(lead.eqNullSafe(F.col("_lead")), F.col("_before")).otherwise(F.col("ts"))).drop(*names, "_t", "_lead", "_before")
 
 
 def flag(prev_any: Column, prev_same: Column, days: int = WINDOW_DAYS) -> Column:
