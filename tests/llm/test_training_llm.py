@@ -274,3 +274,19 @@ def test_sentences_held_out(spark):
     assert [text[a:b] for i, a, b in sorted(got) if i == 1] == ["A title without a stop", "One here.", "Two there?", "Three!", "為何這麼晚？", "沒有人回答。", "「走吧。」他說。"]
     assert (4, 0, 300_000) in got and not [g for g in got if g[0] in (2, 3)]
     assert sentences.sentences(docs.limit(0)).count() == 0
+
+
+def test_batch_by_batch_equals_all_at_once(spark):
+    r = random.Random(12)
+    places = [f"{a}{b}ville" for a in "BDFGKLMNPRST" for b in ("a", "e", "i", "o", "u")]
+    tell = lambda i: f"Mayor {r.choice(['Barsen', 'Dorsen', 'Falsen'])} {r.choice(['opens', 'closes'])} {i % 40 + 10} new homes near {places[i % 60]} after talks"
+    rows = [(i, "s.example", tell(r.randrange(90)) if i % 3 else tell(r.randrange(90)).replace("new", r.choice(["nwe", "brand new"])).upper()) for i in range(1, 420)]
+    df = spark.createDataFrame(rows, "row_id long, domain string, title string")
+    labels, heads = batches.known_labels(df)
+    words = batches.lexicon(batches.classes(batches.forms(df, labels, heads))).cache()
+    posted, found = batches.index(batches.segmented(batches.classes(batches.forms(df.where("row_id <= 200"), labels, heads)), words)), {}
+    for lo, hi in ((200, 300), (300, 419)):
+        got, posted = batches.check_batch(posted, df.where(f"row_id > {lo} and row_id <= {hi}"), words, labels, heads)
+        found |= {x.in_id: x.kept_id for x in got.collect()}
+    whole = {x.in_id: x.kept_id for x in batches.known_stories(df.where("row_id <= 200"), df.where("row_id > 200")).collect()}
+    assert found == whole and len(found) > 100
