@@ -26,7 +26,7 @@ from newslake.llm.lines import count_lines, repeated, with_found
 from newslake.session import cut
 
 #: Labelled documents a language, about, from which the automata are fitted (drawn by a hash of the id).
-FIT_ROWS = 400
+FIT_ROWS = 150
 #: Folded symbols a language in its automaton, at most.
 FIT_SYMBOLS = 24_000
 #: A segment is new to an automaton if its phrases are shorter than this on average.
@@ -39,6 +39,8 @@ LEAST_LATIN, LEAST_OTHER = 24, 8
 SURE = 0.2
 #: A line standing at several sites and in this share of all documents is nobody's content; at most (lines a row) / share lines can be.
 COMMON_SHARE = 0.0003
+#: Characters classified at a time, about; bounds a worker's memory.
+SLICE = 400_000
 _PHRASE = 1 << 30
 
 # ISO 639-1 codes with their ISO 639-2/3 codes and English names.
@@ -370,12 +372,11 @@ def contents(documents: DataFrame) -> DataFrame:
     joined = with_found(rows, repeated(counts)).crossJoin(F.broadcast(common.agg(F.collect_set("line").alias("_common"))))
     name = letters(F.regexp_extract(F.coalesce(site(F.col("source")), F.lit("")), r"^(.*)\.[^.]*$", 1))
 
-    def drop(p: Column) -> Column:
-        key = letters(p)
+    def drop(key: Column) -> Column:
         own = (name != "") & F.contains(key, name) & (F.length(key) <= F.length(name) + 40)
-        return F.coalesce(F.array_contains("_found", key), F.lit(False)) | F.array_contains("_common", key) | own
+        return F.coalesce(F.array_contains("_found", key), F.lit(False)) | F.array_contains("_common", key) | own | (key == "")
 
-    keep = F.transform("parts", lambda p: F.when(drop(p) | (letters(p) == ""), "0").otherwise("1"))
+    keep = F.transform(F.transform("parts", letters), lambda key: F.when(drop(key), "0").otherwise("1"))
     mark = F.array_join(keep, "")
     return joined.select("id", "lang", "text", F.when(F.contains(mark, F.lit("1")), mark).otherwise(F.regexp_replace(mark, "0", "1")).alias("keep"))
 
@@ -401,8 +402,11 @@ def stretches(rows: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays(_stretched(m, ids, b.column(1).to_pylist(), b.column(2).to_pylist()), schema=schema)
+            ids, texts, keep = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), b.column(2).to_pylist()
+            share = np.cumsum([len(t) for t in texts]) // SLICE
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(share)) + 1):
+                i, j = part[0], part[-1] + 1
+                yield pa.RecordBatch.from_arrays(_stretched(m, ids[i:j], texts[i:j], keep[i:j]), schema=schema)
 
     return rows.where("text is not null and text <> ''").select("id", "text", "keep").mapInArrow(run, "id bigint, start bigint, stop bigint, lang string, confidence double, letters bigint")
 
@@ -448,8 +452,9 @@ def _stretched(m: Model, ids: np.ndarray, texts: list[str], keep: list[str]) ->
 def by_language(found: DataFrame) -> DataFrame:
     """(id, lang, letters, confidence, main): each language of a text; `main` has the most letters, ties by code."""
     per = found.groupBy("id", "lang").agg(F.sum("letters").alias("letters"), (F.sum(F.col("confidence") * F.col("letters")) / F.sum("letters")).alias("confidence"))
-    top = per.groupBy("id").agg(F.max_by("lang", F.struct("letters", "lang")).alias("_main"))
-    return per.join(top, "id").select("id", "lang", "letters", "confidence", (F.col("lang") == F.col("_main")).alias("main"))
+    # One pass over the texts: a text's languages, a few, are gathered rather than joined to their greatest.
+    all_ = per.groupBy("id").agg(F.collect_list(F.struct("letters", "lang", "confidence")).alias("_all")).withColumn("_main", F.array_max("_all")["lang"])
+    return all_.select("id", "_main", F.explode("_all").alias("x")).select("id", "x.lang", "x.letters", "x.confidence", (F.col("x.lang") == F.col("_main")).alias("main"))
 
 
 def fit_model(documents: DataFrame, rows_a_language: int = FIT_ROWS) -> tuple[Model, DataFrame]:
@@ -492,4 +497,4 @@ def found_languages(documents: DataFrame, posts: DataFrame, titles: DataFrame, r
     post_langs = by_language(stretches(posted, model))
     title_langs = by_language(stretches(lines, model)).where("main and lang <> 'en'")
     out = tagged("documents", mislabelled(docs, doc_langs)).unionByName(tagged("blogs_posts", mislabelled(posted, post_langs)))
-    return out.unionByName(tagged("collect_headlines", title_langs)).distinct()
+    return out.unionByName(tagged("collect_headlines", title_langs))
