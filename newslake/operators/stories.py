@@ -36,8 +36,8 @@ def with_key(rows: DataFrame, labels: DataFrame, title: str = "title", key: str
     return out.withColumn(key, F.col("_key")).drop("_key")
 
 
-def with_previous(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
-    """`rows` with the ts of the row before, by (ts, url, row_id), among those of equal `keys`; null for the first.
+def with_previous(rows: DataFrame, keys: list[str], out: str, among: DataFrame | None = None) -> DataFrame:
+    """`rows` with the ts of the row before, by (ts, url, row_id), among those of `among` (the same rows) with equal `keys`; null for the first.
 
     A window over a key would put a story of any size into one task. Here rows are first combined to one a key and ts, with
     the row that leads it; only those, at most one a batch time, pass through a window. The leader of a ts takes the ts
@@ -45,7 +45,7 @@ def with_previous(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
     """
     lead = F.struct("url", "row_id")
     names = [f"_k{i}" for i in range(len(keys))]
-    slots = rows.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("ts").alias("_t"), lead.alias("_l")).groupBy(*names, "_t").agg(F.min("_l").alias("_lead"))
+    slots = (rows if among is None else among).select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col("ts").alias("_t"), lead.alias("_l")).groupBy(*names, "_t").agg(F.min("_l").alias("_lead"))
     per = slots.withColumn("_before", F.lag("_t").over(Window.partitionBy(*names).orderBy("_t")))
     joined = rows.join(per, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip([*keys, "ts"], [*names, "_t"])], "left")
     return joined.withColumn(out, F.when(lead.eqNullSafe(F.col("_lead")), F.col("_before")).otherwise(F.col("ts"))).drop(*names, "_t", "_lead", "_before")
@@ -59,8 +59,9 @@ def flag(prev_any: Column, prev_same: Column, days: int = WINDOW_DAYS) -> Column
 
 def copy_flags(keyed: DataFrame, extra: tuple[str, ...] = (), out: str = "flag", days: int = WINDOW_DAYS) -> DataFrame:
     """`keyed` (ts, domain, url, row_id, key) with its copy flag, windowed by `extra` columns too. Rows without ts are left out; null keys are one key."""
-    rows = with_previous(keyed.where("ts is not null"), [*extra, "key"], "_any")
-    rows = with_previous(rows, [*extra, "key", "domain"], "_same")
+    base = cut(keyed.where("ts is not null"))  # read by each look-back and the rows themselves
+    rows = with_previous(base, [*extra, "key"], "_any", base)
+    rows = with_previous(rows, [*extra, "key", "domain"], "_same", base)
     return rows.withColumn(out, flag(F.col("_any"), F.col("_same"), days)).drop("_any", "_same")
 
 
@@ -69,10 +70,11 @@ def copy_flags_of_batch(history: DataFrame, batch: DataFrame, days: int = WINDOW
 
     Both are keyed. Only the history's keys that the batch has are read on, one last sighting a key and a key and site.
     """
-    first = batch.agg(F.min("ts").alias("_t")).first()[0]
-    rows = with_previous(with_previous(batch.where("ts is not null"), ["key"], "_a"), ["key", "domain"], "_s")
+    base = cut(batch.where("ts is not null"))
+    first = base.agg(F.min("ts").alias("_t")).first()[0]
+    rows = with_previous(with_previous(base, ["key"], "_a", base), ["key", "domain"], "_s", base)
     past = history.where((F.col("ts") >= moment(first) - F.expr(f"INTERVAL '{days}' DAY")) & (F.col("ts") < moment(first))) if first else history.limit(0)
-    past = past.join(batch.select("key").distinct(), "key", "left_semi")
+    past = past.join(base.select("key").distinct(), "key", "left_semi")
     any_ = past.groupBy("key").agg(F.max("ts").alias("_pa"))
     same = past.groupBy("key", "domain").agg(F.max("ts").alias("_ps"))
     out = rows.join(any_, "key", "left").join(same, ["key", "domain"], "left")
