@@ -26,10 +26,13 @@ def document_rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("source"), parts.alias("parts"))
 
 
-def title_rows(headlines: DataFrame) -> DataFrame:
-    """(tbl, id, source, parts): tidied titles cut at spaced separators, per site. A null domain is the site ''; a null title has no pieces."""
-    tidy = squeezed(F.regexp_replace("title", ZERO_WIDTH, ""))
-    return headlines.select(F.lit("headlines").alias("tbl"), F.col("row_id").alias("id"), F.coalesce(site(F.col("domain")), F.lit("")).alias("source"), F.split(tidy, DASHES, -1).alias("parts"))
+def title_rows(headlines: DataFrame, *more: str) -> DataFrame:
+    """(tbl, id, source, parts, *more): tidied titles cut at spaced separators, per site. A null domain is the site ''; a null title has no pieces."""
+    return headlines.select(F.lit("headlines").alias("tbl"), F.col("row_id").alias("id"), F.coalesce(site(F.col("domain")), F.lit("")).alias("source"), F.split(_tidy(), DASHES, -1).alias("parts"), *more)
+
+
+def _tidy() -> Column:
+    return squeezed(F.regexp_replace("title", ZERO_WIDTH, ""))
 
 
 def _keys(parts: Column) -> Column:
@@ -104,6 +107,19 @@ def cleaned(rows: DataFrame, found: DataFrame, joiner: str = "\n") -> DataFrame:
     return all_.select("tbl", "id", F.when(F.col("parts").isNotNull(), F.concat_ws(joiner, keep)).alias("text"))
 
 
+def cleaned_titles(headlines: DataFrame, found: DataFrame) -> DataFrame:
+    """(tbl, id, text): every tidied title without its repeated pieces; a kept piece keeps the separator before it, unless it is the first left.
+
+    Null stays null, a title of nothing else is ''.
+    """
+    marked = headlines.select("row_id", "domain", "title", F.regexp_extract_all(_tidy(), F.lit(DASHES), F.lit(0)).alias("_gaps"))
+    all_ = with_found(title_rows(marked, "_gaps"), found)
+    pieces = F.transform("parts", lambda p, i: F.struct(p.alias("p"), F.get("_gaps", i - 1).alias("gap")))
+    keep = F.filter(pieces, lambda x: ~F.coalesce(F.array_contains(F.col("_found"), letters(x["p"])), F.lit(False)))
+    text = F.array_join(F.transform(keep, lambda x, i: F.when(i == 0, x["p"]).otherwise(F.concat(x["gap"], x["p"]))), "")
+    return all_.select("tbl", "id", text.alias("text"))
+
+
 def rebuild(rows: DataFrame, crossed: DataFrame, found: DataFrame, joiner: str = "\n") -> DataFrame:
     """`cleaned` for only those rows that hold a line of `crossings`."""
     some = with_found(rows, crossed).where("_found is not null").where(F.arrays_overlap(_keys(F.col("parts")), F.col("_found"))).drop("_found")

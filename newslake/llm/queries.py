@@ -41,6 +41,11 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return lines.cleaned(rows, lines.repeated(lines.count_lines(rows)))
 
 
+def p5_cleaned_titles(spark: SparkSession, d: str) -> DataFrame:
+    heads = table(spark, d, "headlines")
+    return lines.cleaned_titles(heads, lines.repeated(lines.count_lines(lines.title_rows(heads))))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.known_stories(table(spark, d, "headlines"), table(spark, d, "incoming"), table(spark, d, "site_labels"))
 
@@ -62,7 +67,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_collapsed, p5_found, p5_cleaned, p7_found, p8_containers, p9_mixture, p9_shares, p10_found)
+    f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_collapsed, p5_found, p5_cleaned, p5_cleaned_titles, p7_found, p8_containers, p9_mixture, p9_shares, p10_found)
 }
 
 _SITE = "regexp_replace(lower(trim(domain)), '^www\\.|\\.$', '', 'g')"
@@ -95,6 +100,8 @@ found as (
   join totals t using (tbl, source) where c.n >= 4 and c.n >= t.n * 0.05
 )"""
 
+_TIDY = f"trim(regexp_replace(regexp_replace(title, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{2060}}\\x{{FEFF}}]', '', 'g'), '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+
 ORACLES: dict[str, str] = {
     "p2_found": _RECORDS + "select distinct tbl, keep_id, id as copy_id from (select tbl, id, min(id) over (partition by tbl, k) as keep_id from r) where id <> keep_id",
     "p2_collapsed": _RECORDS + "select tbl, min(id) as keep_id, count(*) as copies from r group by tbl, k",
@@ -102,4 +109,10 @@ ORACLES: dict[str, str] = {
     "p5_cleaned": _LINES
     + """, kept as (select id, string_agg(line, chr(10) order by pos) as text from keyed left join found f using (tbl, source, k) where tbl = 'documents' and f.k is null group by id)
 select 'documents' as tbl, doc_id as id, case when d.text is not null then coalesce(kept.text, '') end as text from documents d left join kept on d.doc_id = kept.id""",
+    "p5_cleaned_titles": _LINES
+    + f""", gaps as (select row_id as id, title, regexp_extract_all({_TIDY}, ' [|\\-–—] ') as g from headlines),
+kept as (select k.id, pos, line, g[pos - 1] as gap, row_number() over (partition by k.id order by pos) as r
+  from keyed k left join found f using (tbl, source, k) join gaps on gaps.id = k.id where tbl = 'headlines' and f.k is null),
+texts as (select id, string_agg(case when r = 1 then line else gap || line end, '' order by pos) as text from kept group by id)
+select 'headlines' as tbl, gaps.id, case when title is not null then coalesce(text, '') end as text from gaps left join texts using (id)""",
 }

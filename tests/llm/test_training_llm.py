@@ -94,6 +94,14 @@ def test_title_pieces(spark):
     assert {(x.id, x.pos) for x in lines.found_places(t, lines.repeated(lines.count_lines(t))).collect()} == {(i, 2) for i in range(6)}
 
 
+def test_cleaned_titles(spark):
+    rows = [(i, "a.example", f"A Daily - Story {'abcdefgh'[i]} – part two | more", None) for i in range(6)] + [(7, "a.example", "A  DAILY", None), (8, "a.example", None, None), (9, "b.example", "A Daily - x", None)]
+    rows[5] = (5, "a.example", "Alone | A Daily — told", None)
+    df = spark.createDataFrame(rows, "row_id long, domain string, title string, url string")
+    got = {x.id: x.text for x in lines.cleaned_titles(df, lines.repeated(lines.count_lines(lines.title_rows(df)))).collect()}
+    assert got == {**{i: f"Story {'abcde'[i]}" for i in range(5)}, 5: "Alone — told", 7: "", 8: None, 9: "A Daily - x"}
+
+
 def test_known_stories(spark):
     verbs, places = ["opens", "closes", "sells", "plans"], [f"{a}{b}town" for a in "BDFGKLMNPR" for b in ("a", "e", "i", "o", "u")]
     people = [f"{a}{b}sen" for a in "BDFGK" for b in ("ar", "er", "or")]
