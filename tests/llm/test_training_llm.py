@@ -284,6 +284,16 @@ def test_sentences_held_out(spark):
     assert sentences.sentences(docs.limit(0)).count() == 0
 
 
+def test_sentence_counts_are_of_all_documents(spark):
+    texts = ["\n".join(" ".join(x) for x in t) for t in corpus(3, 3200)] + [f"판사는 학교 {i}곳을 거부했다. 시장은 새 주택 {i}채를 약속했다." for i in range(4)]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
+    got, want = sentences.fit_model(docs), sentences.fit(texts)
+    for part in ("right", "right_any", "right_shape", "left", "left_shape"):
+        a, b = getattr(got, part), getattr(want, part)
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a), part
+    assert got.starts == want.starts and sentences.fit_model(docs.limit(0)).right == {}
+
+
 def test_batch_by_batch_equals_all_at_once(spark):
     r = random.Random(12)
     places = [f"{a}{b}ville" for a in "BDFGKLMNPRST" for b in ("a", "e", "i", "o", "u")]
