@@ -488,6 +488,14 @@ def mislabelled(rows: DataFrame, langs: DataFrame) -> DataFrame:
     return cases.select("id", F.explode("all").alias("lang"))
 
 
+def all_stretches(documents: DataFrame, posts: DataFrame, titles: DataFrame, rows_a_language: int = FIT_ROWS) -> DataFrame:
+    """(tbl, id, start, stop, lang, confidence, letters) of the three tables; places in a post are those of its title, a line feed and its subtitle."""
+    model, docs = fit_model(documents, rows_a_language)
+    tagged = lambda name, df: df.select(F.lit(name).alias("tbl"), "*")
+    out = tagged("documents", stretches(docs, model)).unionByName(tagged("blogs_posts", stretches(post_rows(posts), model)))
+    return out.unionByName(tagged("collect_headlines", stretches(title_texts(titles), model)))
+
+
 def found_languages(documents: DataFrame, posts: DataFrame, titles: DataFrame, rows_a_language: int = FIT_ROWS) -> DataFrame:
     """(tbl, id, lang) of the three tables: languages that labels miss, and all titles that aren't English."""
     model, docs = fit_model(documents, rows_a_language)

@@ -16,8 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
-    model, rows = language.fit_model(table(spark, d, "documents"))
-    return language.stretches(rows, model)
+    return language.all_stretches(table(spark, d, "documents"), table(spark, d, "blogs_posts"), table(spark, d, "collect_headlines"))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newslake.llm import batches, copies, language, lines, mixing, packing, sentences, tokens
+from newslake.llm import batches, copies, language, lines, mixing, packing, queries, sentences, tokens
 
 T0 = dt.datetime(2026, 9, 1)
 DOCS = "doc_id long, text string, lang string, source string"
@@ -252,6 +252,18 @@ def test_stretches_and_cases(spark):
     assert [(x.lang, mixed[0][1][x.start : x.stop]) for x in spans] == [("en", EN[0]), ("ru", RU[0])] and all(0 < x.confidence <= 1 for x in spans)
 
 
+def test_stretches_of_all_tables(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, x, f"s{i % 9}.example") for i, (x, t, _) in enumerate(labelled(150, 5))], DOCS)
+    posts = spark.createDataFrame([(1, EN[0], DE[2], "en"), (2, None, None, None)], "row_id long, title string, subtitle string, lang string")
+    heads = spark.createDataFrame([(1, EN[2]), (2, DE[2]), (3, None)], "row_id long, title string")
+    for name, df in (("documents", docs), ("blogs_posts", posts), ("collect_headlines", heads)):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = queries.p1_stretches(spark, str(tmp_path)).collect()
+    assert {x.tbl for x in got} == {"documents", "blogs_posts", "collect_headlines"} and all(0 < x.confidence <= 1 for x in got)
+    assert sorted((x.id, x.lang, x.start, x.stop) for x in got if x.tbl == "blogs_posts") == [(1, "de", len(EN[0]) + 1, len(EN[0]) + 1 + len(DE[2])), (1, "en", 0, len(EN[0]))]
+    assert sorted((x.id, x.lang) for x in got if x.tbl == "collect_headlines") == [(1, "en"), (2, "de")]
+
+
 def corpus(seed, n):
     r = random.Random(seed)
     names = [a + b + "sen" for a in ("Bar", "Dor", "Fal", "Gim", "Kel") for b in ("i", "o", "a", "u")]
