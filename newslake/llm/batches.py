@@ -1,14 +1,14 @@
 """Problem 7: new batches of titles held against everything accepted, by a segment index, without re-reading the history.
 
 A title becomes a *form*: site labels gone, marks and invisible characters gone, its distinct words and figures sorted, so
-moved phrases and all formatting vanish. Equal forms are one class. A form is stored under its segments: its rarest words
-(names and places) together with its figures, since a story keeps both whatever else is edited. A batch probes the
-index with its own words, and each candidate pair of classes is verified by bounded edits: the same figures, the same
+moved phrases and all formatting vanish. Equal forms are one class. A form is stored under its segments: its
+names, all of which a story keeps, together with its figures, or without a common name each of its words, so that a
+misspelling never is the only key. A batch probes the index with its own segments, and each candidate pair of classes is verified by bounded edits: the same figures, the same
 names, at most a few words replaced, each rare word left over a misspelling (edit distance 2) of a common one. Then the
 batch's segments are appended.
 
 The plain form of the method, segments of the running text by position and length, can't meet a moved phrase, and its
-segments of stock phrases ("as winter looms") would hold a tenth of all titles; rare words as segments, whose position is
+segments of stock phrases ("as winter looms") would hold a tenth of all titles; names as segments, whose position is
 left free, do both. No posting list is capped: pairs are of classes, and a hot list is split by the skew join.
 """
 
@@ -110,12 +110,13 @@ def segmented(classed: DataFrame, words: DataFrame) -> DataFrame:
                 nam = [w for w in ws if common.get(w)]
                 odd = [w for w in ws if w not in common and not w[0].isnumeric()]
                 plain = [w for w in ws if common.get(w) is False]
-                long_ = sorted(plain, key=lambda w: (-len(w), w))[:3]
+                # Equal names and figures are asked for, so one name meets all that share them; without a name any word may be the one kept.
+                keys = nam[:1] or odd + plain + fig[:1]
                 figs.append(" ".join(fig))
                 names.append(" ".join(nam))
                 rare.append(odd)
-                segs.append(odd or nam or long_ or fig)
-                probes.append(odd + nam + ([] if nam else plain) + ([] if nam or odd or plain else fig))
+                segs.append(keys)
+                probes.append(keys)
             yield x.assign(figs=figs, names=names, rare=rare, segs=segs, probes=probes)[["form", "first_id", "figs", "names", "rare", "segs", "probes"]]
 
     return classed.select("form", "first_id").mapInPandas(split, "form string, first_id bigint, figs string, names string, rare array<string>, segs array<string>, probes array<string>")
@@ -128,9 +129,9 @@ def index(segments: DataFrame) -> DataFrame:
 
 def probe(posted: DataFrame, batch: DataFrame) -> DataFrame:
     """(form, first_id): for each class of the batch the smallest id of a verified class of the index, where there is one."""
-    a = posted.select("figs", "seg", F.col("form").alias("a"), F.col("first_id").alias("a_id"), F.col("names").alias("a_names"), F.col("rare").alias("a_rare"))
-    b = batch.select("figs", F.explode("probes").alias("seg"), F.col("form").alias("b"), F.col("names").alias("b_names"), F.col("rare").alias("b_rare"))
-    pairs = a.join(b, ["figs", "seg"]).where("a_names = b_names and a <> b")
+    a = posted.select("figs", "names", "seg", F.col("form").alias("a"), F.col("first_id").alias("a_id"), F.col("rare").alias("a_rare"))
+    b = batch.select("figs", "names", F.explode("probes").alias("seg"), F.col("form").alias("b"), F.col("rare").alias("b_rare"))
+    pairs = a.join(b, ["figs", "names", "seg"]).where("a <> b")
     return pairs.where(_same_story()).groupBy(F.col("b").alias("form")).agg(F.min("a_id").alias("first_id"))
 
 

@@ -135,6 +135,15 @@ def test_probe_against_brute_force(spark):
     assert got == {x.b: x.i for x in brute.collect()} and got
 
 
+def test_a_misspelling_is_no_titles_only_key(spark):
+    pairs = [("5 bartown mayor unpiad", "5 bartown mayor unpaid"), ("7 late mayor unpiad", "7 late mayor unpaid"), ("8 9 unpiad", "8 9 unpaid")]
+    classed = spark.createDataFrame([(f, 2 * i + j, f) for i, p in enumerate(pairs) for j, f in enumerate(p)], "form string, first_id long, text string")
+    common = spark.createDataFrame([("bartown", True), ("mayor", False), ("unpaid", False), ("late", False)], "word string, name boolean")
+    seg = batches.segmented(classed, common)
+    got = {x.form: x.first_id for x in batches.probe(batches.index(seg), seg).collect()}
+    assert {b: got.get(b) for _, b in pairs} == {b: 2 * i for i, (_, b) in enumerate(pairs)}
+
+
 def test_packing_round_trip(spark):
     r = random.Random(1)
     docs = [(i, None if i == 3 else "" if i == 4 else "Title\n" + "word " * r.choice([1, 30, 200, 900, 5000]), "en", "s") for i in range(150)] + [(7000, "x" * 3, "en", "s")]
