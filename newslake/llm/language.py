@@ -26,7 +26,7 @@ from newslake.llm.lines import count_lines, repeated, with_found
 from newslake.session import cut
 
 #: Labelled documents a language, about, from which the automata are fitted (drawn by a hash of the id).
-FIT_ROWS = 150
+FIT_ROWS = 400
 #: Folded symbols a language in its automaton, at most.
 FIT_SYMBOLS = 24_000
 #: A segment is new to an automaton if its phrases are shorter than this on average.

@@ -261,6 +261,12 @@ def test_stretches_and_cases(spark):
     assert [(x.lang, mixed[0][1][x.start : x.stop]) for x in spans] == [("en", EN[0]), ("ru", RU[0])] and all(0 < x.confidence <= 1 for x in spans)
 
 
+def test_fit_sample_is_of_400_a_language(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"), F.lit("x").alias("text"))
+    drawn = Counter(x for x, _ in language.labelled_sample(rows, F.col("lang")))
+    assert all(330 <= drawn[x] <= 470 for x in ("en", "de"))
+
+
 def test_stretches_of_all_tables(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, x, f"s{i % 9}.example") for i, (x, t, _) in enumerate(labelled(150, 5))], DOCS)
     posts = spark.createDataFrame([(1, EN[0], DE[2], "en"), (2, None, None, None)], "row_id long, title string, subtitle string, lang string")
