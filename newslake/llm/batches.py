@@ -185,3 +185,17 @@ def check_batch(posted: DataFrame, titles: DataFrame, words: DataFrame, labels:
     links = probe(after, batch).unionByName(same).unionByName(batch.select("form", "first_id"))
     first = links.groupBy("form").agg(F.min("first_id").alias("kept_id"))
     return formed.join(first, "form").where("kept_id < row_id").select("kept_id", F.col("row_id").alias("in_id")), after
+
+
+def by_batches(headlines: DataFrame, incoming: DataFrame, site_labels: DataFrame | None = None) -> DataFrame:
+    """(kept_id, in_id): each batch of `incoming` in turn through `check_batch`, on an index of `headlines`."""
+    titles = headlines.select("row_id", "domain", "title").where("row_id is not null")
+    labels, heads = (cut(x) for x in known_labels(titles, site_labels))
+    classed = cut(classes(forms(titles, labels, heads).select("row_id", "form", "text")))
+    words = cut(lexicon(classed))
+    posted, out = cut(index(segmented(classed, words))), None
+    for k in sorted(r.batch for r in incoming.select("batch").where("batch is not null").distinct().collect()):
+        got, after = check_batch(posted, incoming.where((F.col("batch") == k) & F.col("row_id").isNotNull()), words, labels, heads)
+        got, posted = cut(got), cut(after)
+        out = got if out is None else out.unionByName(got)
+    return headlines.sparkSession.createDataFrame([], "kept_id bigint, in_id bigint") if out is None else out.distinct()

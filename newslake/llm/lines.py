@@ -122,8 +122,30 @@ def cleaned_titles(headlines: DataFrame, found: DataFrame) -> DataFrame:
 
 def rebuild(rows: DataFrame, crossed: DataFrame, found: DataFrame, joiner: str = "\n") -> DataFrame:
     """`cleaned` for only those rows that hold a line of `crossings`."""
-    some = with_found(rows, crossed).where("_found is not null").where(F.arrays_overlap(_keys(F.col("parts")), F.col("_found"))).drop("_found")
-    return cleaned(some, found, joiner)
+    return cleaned(touched(rows, crossed).where("touched"), found, joiner)
+
+
+def touched(rows: DataFrame, crossed: DataFrame) -> DataFrame:
+    """`rows` with `touched`: whether a row holds a line of `crossings`."""
+    held = F.arrays_overlap(_keys(F.col("parts")), F.col("_found"))
+    return with_found(rows, crossed).withColumn("touched", F.coalesce(held, F.lit(False))).drop("_found")
+
+
+def cleaned_by_deltas(parts: list[DataFrame], joiner: str = "\n") -> DataFrame:
+    """`cleaned` of all partitions, taken in one after the other: each one's counts are merged as a delta, rows before it that hold a crossed line are rebuilt."""
+    counts = cut(count_lines(parts[0]))
+    found = cut(repeated(counts))
+    out, rows = cleaned(parts[0], found, joiner), parts[0]
+    for k, part in enumerate(parts[1:], 2):
+        counts = merge_counts(counts, count_lines(part))
+        counts = cut(counts) if k < len(parts) else counts  # the last state is read once
+        now = cut(repeated(counts))
+        crossed = cut(crossings(found, now))
+        same = touched(rows, crossed).where("not touched").drop("touched")
+        # What isn't touched has the text it had: no line of it has another verdict.
+        out = cleaned(same, found, joiner).unionByName(rebuild(rows, crossed, now, joiner)).unionByName(cleaned(part, now, joiner))
+        rows, found = rows.unionByName(part), now
+    return out
 
 
 def repeated_places(documents: DataFrame, headlines: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     rows = lines.document_rows(table(spark, d, "documents"))
-    return lines.cleaned(rows, lines.repeated(lines.count_lines(rows)))
+    half = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(2)), F.lit(0))
+    return lines.cleaned_by_deltas([rows.where(half == k) for k in (0, 1)])
 
 
 def p5_cleaned_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -49,6 +50,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return batches.known_stories(table(spark, d, "headlines"), table(spark, d, "incoming"), table(spark, d, "site_labels"))
 
 
+def p7_batches(spark: SparkSession, d: str) -> DataFrame:
+    """(kept_id, in_id): the batches of `incoming` one by one against the stored index of `headlines`, whose labels and words are kept as they are."""
+    return batches.by_batches(table(spark, d, "headlines"), table(spark, d, "incoming"), table(spark, d, "site_labels"))
+
+
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"))
 
@@ -66,7 +72,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_collapsed, p5_found, p5_cleaned, p5_cleaned_titles, p7_found, p8_containers, p9_mixture, p9_shares, p10_found)
+    f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_collapsed, p5_found, p5_cleaned, p5_cleaned_titles, p7_found, p7_batches, p8_containers, p9_mixture, p9_shares, p10_found)
 }
 
 _SITE = "regexp_replace(lower(trim(domain)), '^www\\.|\\.$', '', 'g')"

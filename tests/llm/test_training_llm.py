@@ -87,6 +87,17 @@ def test_lines_incremental(spark):
     assert lines.found_places(a.limit(0), after.limit(0)).count() == 0
 
 
+def test_cleaned_query_takes_deltas(spark, tmp_path, monkeypatch):
+    data = doc_lines(7, 200)
+    spark.createDataFrame(data, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    merged, merge = [], lines.merge_counts
+    monkeypatch.setattr(lines, "merge_counts", lambda *x: merged.append(1) or merge(*x))
+    got = {x.id: x.text for x in queries.p5_cleaned(spark, str(tmp_path)).collect()}
+    rows = lines.document_rows(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    assert merged and got == {x.id: x.text for x in lines.cleaned(rows, lines.repeated(lines.count_lines(rows))).collect()}
+    assert got == {x.id: x.text for x in lines.cleaned_by_deltas([rows.where(f"id % 3 = {k}") for k in range(3)]).collect()}
+
+
 def test_title_pieces(spark):
     rows = [(i, "a.example", f"Story number {'abcdefgh'[i]} | A​ Daily", None) for i in range(6)] + [(9, "a.example", None, None), (10, None, " - ", None)]
     df = spark.createDataFrame(rows, "row_id long, domain string, title string, url string")
@@ -335,3 +346,11 @@ def test_batch_by_batch_equals_all_at_once(spark):
         found |= {x.in_id: x.kept_id for x in got.collect()}
     whole = {x.in_id: x.kept_id for x in batches.known_stories(df.where("row_id <= 200"), df.where("row_id > 200")).collect()}
     assert found == whole and len(found) > 100
+
+
+def test_batches_query_meets_stored_and_earlier_batches(spark, tmp_path):
+    heads = spark.createDataFrame([(i, "s.example", f"Mayor opens {i} new homes near Dorville") for i in range(1, 30)], "row_id long, domain string, title string")
+    inc = spark.createDataFrame([(100, 1, "t.example", "MAYOR opens 7 new homes near Dorville"), (101, 1, "t.example", "Ships leave 77 ports"), (102, 2, "u.example", "Ships leave 77 PORTS")], "row_id long, batch int, domain string, title string")
+    for name, df in (("headlines", heads), ("incoming", inc), ("site_labels", spark.createDataFrame([], "domain string, tail string"))):
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {(x.kept_id, x.in_id) for x in queries.QUERIES["p7_batches"](spark, str(tmp_path)).collect()} == {(7, 100), (101, 102)}
