@@ -1,79 +1,131 @@
-"""Problem 7: new batches of titles held against everything accepted, by a segment index, without re-reading the history.
+"""Problem 7: new batches of titles held against everything accepted, by a segment index for edit distance.
 
 A title becomes a *form*: site labels gone, marks and invisible characters gone, its distinct words and figures sorted, so
-moved phrases and all formatting vanish. Equal forms are one class. A form is stored under its segments: its
-names, all of which a story keeps, together with its figures, or without a common name each of its words, so that a
-misspelling never is the only key. A batch probes the index with its own segments, and each candidate pair of classes is verified by bounded edits: the same figures, the same
-names, at most a few words replaced, each rare word left over a misspelling (edit distance 2) of a common one. Then the
-batch's segments are appended.
-
-The plain form of the method, segments of the running text by position and length, can't meet a moved phrase, and its
-segments of stock phrases ("as winter looms") would hold a tenth of all titles; names as segments, whose position is
-left free, do both. No posting list is capped: pairs are of classes, and a hot list is split by the skew join.
+moved phrases and all formatting vanish. Equal forms are one class. A class's *anchor* is the string of what a story
+keeps: its names and uncommon words, without those that are within two edits of a common plain word (misspellings of it).
+
+The index holds each anchor cut into a fixed number of segments, stored by figures, length, position and text. A batch
+probes it with the substrings of its anchors that may match a segment: by pigeonhole two anchors within SLIPS edits share
+one. An anchor's own uncommon words may also be new (a synonym, a further name), so it probes with up to MOST_NEW of them
+left out. Candidates are verified: the same figures, the same common names, a bounded number of other words replaced, added
+or dropped, and each uncommon word of the accepted title in the new one or within SLIPS edits of a word there. Then the
+batch's segments are appended. Labels, common words and names are learned from what was accepted first and kept with the index, so
+a batch costs one read of the index's keys and no look at any accepted text.
+
+The segments are cut from the anchor, not from the running text: replaced, dropped and moved phrases of one story are up
+to half its characters, and segments of so many edits would be shorter than a word. Titles without any anchor are posted
+under their rarest words, misspellings corrected, as many as a title of two thirds the same words must share one of; two
+such titles are one story only if so many are the same. No list is capped.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from itertools import combinations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslake.functions.text import ZERO_WIDTH, letters, site, squeezed
+from newslake.functions.text import letters, site
 from newslake.llm.lines import DASHES, count_lines, repeated, title_rows, with_found
-from newslake.session import cut
+from newslake.session import cut, small
 
 #: Words in at least this share of all forms are common; at most (words a form) / share of them can exist, so their list is small.
 COMMON_SHARE = 0.0002
 COMMON_LEAST = 8
 #: Of its appearances inside a sentence, the share with a capital that makes a common word a name.
 NAME_SHARE = 0.8
+#: Words of the shorter and of the longer list of differing words of two forms of one story, at most.
 MOST_REPLACED = 4
 MOST_ADDED = 9
-#: A piece held by this many sites is a section heading, as is a piece that repeats in its own site.
-SECTION_SITES = 8
+#: Uncommon words a new title may have that the accepted one lacks.
+MOST_NEW = 2
+#: Edits of an anchor, and of a misspelt word. An anchor has one segment more.
+SLIPS = 2
+#: A short piece is a section heading if it stands at this share of the sites that have pieces, and in this share of their titles: at most (pieces a title) / share.
+SECTION_SITES, SECTION_ROWS, SECTION_LEAST = 0.004, 0.0005, 4
 SECTION_WORDS = 3
+#: Batch keys are broadcast to the index up to this many; beyond, the join shuffles.
+BROADCAST_KEYS = 400_000
+#: Appended batches after which the index is written anew, in one piece.
+COMPACT_EVERY = 32
+#: Distinct words that a task holds while counting.
+MOST_HELD = 200_000
 
-_FORM = "row_id bigint, form string"
+_CLASS = "form string, first_id bigint, figs string, names string, anchor string, loose array<string>, rare array<string>, keys array<bigint>"
+_SOFT = re.compile("­")
+_BREAKS = re.compile(r"[^\w]+|_+")
+_LEAD = re.compile(r"(?:^|[|:.?!–—-] )[\W\d_]*[^\W\d_]+")
 
 
-def known_labels(titles: DataFrame, site_labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per-site labels (tbl, source, line) and section headings (line), learned from the pieces of `titles` (row_id, domain, title).
+@dataclass(frozen=True)
+class Stored:
+    """The index with what it was made with: site labels (tbl, source, line), section headings, and the common words."""
 
-    Labels are the lines that problem 5 finds, and the pieces of `site_labels` (domain, tail). Headings are short pieces
-    standing at SECTION_SITES sites or more; there are few of them, whatever the data, as each needs its own words.
+    posted: DataFrame
+    labels: DataFrame
+    heads: frozenset[str] = frozenset()
+    words: dict[str, bool] = field(default_factory=dict)  # bounded by COMMON_SHARE
+    plain: frozenset[str] = frozenset()  # words that batches since then made common, no names
+    batches: int = 0
+
+
+def known_labels(titles: DataFrame, site_labels: DataFrame | None = None) -> tuple[DataFrame, frozenset[str]]:
+    """Per-site labels (tbl, source, line) and section headings, learned from the pieces of `titles` (row_id, domain, title).
+
+    Labels are the lines that problem 5 finds, and the pieces of `site_labels` (domain, tail). Headings are pieces that
+    stand at SECTION_SITES of all sites and in SECTION_ROWS of all titles, so there are at most (pieces a title) / share.
     """
     counts = cut(count_lines(title_rows(titles)))
     labels = repeated(counts)
     if site_labels is not None:
         given = site_labels.select(F.lit("headlines").alias("tbl"), site(F.col("domain")).alias("source"), F.explode(F.split("tail", DASHES)).alias("p"))
         labels = labels.unionByName(given.select("tbl", "source", letters(F.col("p")).alias("line")).where("line <> '' and source is not null")).distinct()
-    heads = counts.where("line is not null and length(line) <= 24").groupBy("line").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= SECTION_SITES).select("line")
-    return labels, heads
+    all_ = counts.where("line is null").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("sites")).first()
+    at_sites, in_rows = max(SECTION_LEAST, SECTION_SITES * all_.sites), max(SECTION_LEAST, SECTION_ROWS * (all_.rows or 0))
+    heads = counts.where("line is not null").groupBy("line").agg(F.count(F.lit(1)).alias("sites"), F.sum("n").alias("n")).where((F.col("sites") >= at_sites) & (F.col("n") >= in_rows))
+    return labels, frozenset(r.line for r in heads.select("line").collect())
 
 
-def forms(titles: DataFrame, labels: DataFrame, heads: DataFrame) -> DataFrame:
-    """(row_id, words, text, form): titles without labels as distinct sorted words. Blank or null titles have no form and are left out.
+def _words(text: str) -> list[str]:
+    return [w for w in _BREAKS.split(text) if w]
 
-    A piece is a label if it is known, or if it is short and names the site itself; the longest piece never is.
-    """
-    rows = title_rows(titles).where("parts is not null")
-    rows = with_found(rows, labels).crossJoin(F.broadcast(heads.agg(F.collect_set("line").alias("_heads"))))  # one row: the bounded list of headings
-    stem = F.upper(F.regexp_extract("source", r"^([\p{L}]+)", 1))
-    longest = F.array_max(F.transform("parts", F.length))
 
-    def stays(x: Column) -> Column:
-        named = (x["words"] <= 5) & (stem != "") & F.startswith(x["key"], stem)
-        known = F.coalesce(F.array_contains("_found", x["key"]), F.lit(False)) | (F.array_contains("_heads", x["key"]) & (x["words"] <= SECTION_WORDS))
-        return (F.length(x["p"]) == longest) | ~(named | known)
+def forms(titles: DataFrame, labels: DataFrame, heads: frozenset[str]) -> DataFrame:
+    """(row_id, text, form): titles without labels as distinct sorted words. Blank or null titles have no form and are left out.
 
-    pieces = F.transform("parts", lambda p: F.struct(p.alias("p"), letters(p).alias("key"), (F.length(F.trim(p)) - F.length(F.replace(F.trim(p), F.lit(" "), F.lit(""))) + 1).alias("words")))
-    text = F.array_join(F.transform(F.filter(pieces, stays), lambda x: x["p"]), " | ")
-    clean = F.regexp_replace(text, r"\u00ad", "")
-    words = F.filter(F.split(F.lower(F.regexp_replace(clean, r"[^\p{L}\p{M}\p{N}]+", " ")), " "), lambda w: w != "")
-    out = rows.select(F.col("id").alias("row_id"), clean.alias("text"), F.array_sort(F.array_distinct(words)).alias("words"))
-    return out.where("size(words) > 0").select("row_id", "words", "text", F.array_join("words", " ").alias("form"))
+    A piece is a label if it is known, or if it is short and names the site itself; the longest piece never is.
+    """
+    schema = pa.schema([("row_id", pa.int64()), ("text", pa.string()), ("form", pa.string())])
+
+    def one(source: str, parts: list[str], found: set[str]) -> tuple[str, str]:
+        longest = max(map(len, parts))
+        stem = re.match(r"[^\W\d_]*", source)[0].upper()
+        kept = []
+        for p in parts:
+            if len(p) < longest:
+                key, n = "".join(filter(str.isalpha, p)).upper(), p.strip().count(" ") + 1
+                if key in found or (n <= SECTION_WORDS and key in heads) or (n <= 5 and stem and key.startswith(stem)):
+                    continue
+            kept.append(p)
+        text = _SOFT.sub("", " | ".join(kept))
+        return text, " ".join(sorted(set(_words(text.lower()))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, sources, parts, found = (c.to_pylist() for c in b.columns)
+            out = [(i, *one(s, p, set(f or ()))) for i, s, p, f in zip(ids, sources, parts, found)]
+            out = [x for x in out if x[2]]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else ((), (), ()), schema.types)], schema=schema)
+
+    rows = with_found(title_rows(titles).where("parts is not null"), labels)
+    return rows.select(F.col("id").cast("long").alias("id"), "source", "parts", "_found").mapInArrow(run, "row_id bigint, text string, form string")
 
 
 def classes(formed: DataFrame) -> DataFrame:
@@ -81,58 +133,188 @@ def classes(formed: DataFrame) -> DataFrame:
     return formed.groupBy("form").agg(F.min("row_id").alias("first_id"), F.min_by("text", "row_id").alias("text"))
 
 
-def lexicon(classed: DataFrame) -> DataFrame:
-    """(word, name): the common words of all forms, and which of them are names (capitals within sentences)."""
-    total = classed.count()
-    tidy = ~F.col("text").rlike(r"\p{L}\p{Lu}") & (F.regexp_count("text", F.lit(r"(?<![\p{L}\p{N}])\p{Ll}")) > F.regexp_count("text", F.lit(r"(?<![\p{L}\p{N}])\p{Lu}")))
-    raw = F.filter(F.split(F.regexp_replace(F.regexp_replace("text", r"(^|[|:.?!–—-] )\P{L}*\p{L}+", " "), r"[^\p{L}\p{M}\p{N}]+", " "), " "), lambda w: w.rlike(r"^\p{L}"))
-    seen = classed.select(F.explode(F.array_union(
-        F.transform(F.split("form", " "), lambda w: F.struct(w.alias("word"), F.lit(1).alias("n"), F.lit(0).alias("inside"), F.lit(0).alias("capital"))),
-        F.transform(F.when(tidy, F.array_distinct(raw)).otherwise(F.array().cast("array<string>")), lambda w: F.struct(F.lower(w).alias("word"), F.lit(0).alias("n"), F.lit(1).alias("inside"), w.rlike(r"^\p{Lu}").cast("int").alias("capital"))),
-    )).alias("x"))
-    per = seen.groupBy("x.word").agg(F.sum("x.n").alias("n"), F.sum("x.inside").alias("inside"), F.sum("x.capital").alias("capital"))
-    common = per.where(F.col("n") >= max(COMMON_LEAST, COMMON_SHARE * total)).where(~F.col("word").rlike(r"^\p{N}"))
-    return common.select("word", ((F.col("inside") > 0) & (F.col("capital") >= F.col("inside") * NAME_SHARE)).alias("name"))
-
-
-def segmented(classed: DataFrame, words: DataFrame) -> DataFrame:
-    """`classed` with figs, names, rare and segs: figures, common names, uncommon words, and the words it is stored under."""
-    spark = classed.sparkSession
-    known = spark.sparkContext.broadcast({r.word: r.name for r in words.collect()})  # bounded by COMMON_SHARE
-
-    def split(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = known.value
-        for x in it:
-            figs, names, rare, segs, probes = [], [], [], [], []
-            for form in x.form:
-                ws = form.split(" ")
-                fig = [w for w in ws if w[0].isnumeric()]
-                nam = [w for w in ws if common.get(w)]
-                odd = [w for w in ws if w not in common and not w[0].isnumeric()]
-                plain = [w for w in ws if common.get(w) is False]
-                # Equal names and figures are asked for, so one name meets all that share them; without a name any word may be the one kept.
-                keys = nam[:1] or odd + plain + fig[:1]
-                figs.append(" ".join(fig))
-                names.append(" ".join(nam))
-                rare.append(odd)
-                segs.append(keys)
-                probes.append(keys)
-            yield x.assign(figs=figs, names=names, rare=rare, segs=segs, probes=probes)[["form", "first_id", "figs", "names", "rare", "segs", "probes"]]
+def _cased(text: str) -> list[str]:
+    """The distinct words inside the sentences of a title that is written with ordinary capitals."""
+    ws = _words(text)
+    if not ws or not ws[0][0].isupper():
+        return []
+    upper = sum(w[0].isupper() for w in ws)
+    if upper >= sum(w[0].islower() for w in ws) or any(a.isalpha() and b.isupper() for w in ws for a, b in zip(w, w[1:])):
+        return []
+    return [w for w in set(_words(_LEAD.sub(" ", text))) if w[0].isalpha()]
+
+
+def lexicon(classed: DataFrame) -> dict[str, bool]:
+    """The common words of all forms, and whether each is a name (capitals within sentences)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, inside, capital = Counter(), Counter(), Counter()
+
+        def given() -> pa.RecordBatch:
+            keys = list(n | inside)
+            return pa.RecordBatch.from_pydict({"word": pa.array(keys, pa.string()), "n": pa.array([n[k] for k in keys], pa.int64()), "inside": pa.array([inside[k] for k in keys], pa.int64()), "capital": pa.array([capital[k] for k in keys], pa.int64())})
+
+        for b in batches:
+            for form, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n.update(form.split(" "))
+                cased = _cased(text)
+                inside.update(map(str.lower, cased))
+                capital.update(w.lower() for w in cased if w[0].isupper())
+            if len(n) > MOST_HELD:
+                yield given()
+                n, inside, capital = Counter(), Counter(), Counter()
+        yield given()
+
+    per = classed.select("form", "text").mapInArrow(count, "word string, n bigint, inside bigint, capital bigint")
+    per = per.groupBy("word").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum("capital").alias("capital"))
+    common = per.where(F.col("n") >= max(COMMON_LEAST, COMMON_SHARE * classed.count())).where(~F.col("word").rlike(r"^\p{N}"))
+    return {r.word: bool(r.inside and r.capital >= r.inside * NAME_SHARE) for r in common.collect()}
+
+
+def edits(a: str, b: str, most: int = SLIPS) -> int:
+    """The edit distance of two strings, or `most` + 1 if it is greater."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    if a == b:
+        return 0
+    before = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+        if min(row) > most:
+            return most + 1
+        before = row
+    return min(before[-1], most + 1)
+
+
+def cuts(n: int, slips: int = SLIPS) -> list[tuple[int, int]]:
+    """(start, length) of the `slips` + 1 segments of a string of length n, as even as can be, the longer ones last."""
+    k = slips + 1
+    short, size = k - n % k, n // k
+    out, at = [], 0
+    for i in range(k):
+        length = size + (i >= short)
+        out.append((at, length))
+        at += length
+    return out
+
+
+def substrings(text: str, slips: int = SLIPS) -> Iterator[tuple[int, int, str]]:
+    """(length, segment, substring): the substrings of `text` that a string within `slips` edits may have as a segment.
+
+    Of the segments left of a first match at most that many edits lie, and of those right of it the rest: this bounds the
+    places of a substring on both sides.
+    """
+    n = len(text)
+    for size in range(max(n - slips, 1), n + slips + 1):
+        for i, (start, length) in enumerate(cuts(size, slips)):
+            right = start + n - size
+            for p in range(max(0, start - i, right - (slips - i)), min(n - length, start + i, right + slips - i) + 1):
+                yield size, i, text[p : p + length]
+
+
+class Slips:
+    """The common plain word that a word is a misspelling of, or '': found by a segment index over these words, the nearest first."""
+
+    def __init__(self, words: dict[str, bool]):
+        self.by: dict[tuple[int, int, str], list[str]] = {}
+        self.memo: dict[str, str] = {}
+        for w in (w for w, name in words.items() if not name):
+            for i, (start, length) in enumerate(cuts(len(w))):
+                self.by.setdefault((len(w), i, w[start : start + length]), []).append(w)
+
+    def __call__(self, word: str) -> str:
+        got = self.memo.get(word)
+        if got is None:
+            near = {w for key in substrings(word) for w in self.by.get(key, ())} if len(word) > SLIPS + 1 else ()
+            n, got = min(((edits(word, w), w) for w in near), default=(SLIPS + 1, ""))
+            got = got if n <= SLIPS else ""
+            if len(self.memo) > MOST_HELD:
+                self.memo.clear()
+            self.memo[word] = got
+        return got
+
+
+def _key(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _posts(figs: str, anchor: str) -> list[int]:
+    return [_key(figs, len(anchor), i, anchor[s : s + n]) for i, (s, n) in enumerate(cuts(len(anchor)))]
 
-    return classed.select("form", "first_id").mapInPandas(split, "form string, first_id bigint, figs string, names string, rare array<string>, segs array<string>, probes array<string>")
 
+def _probes(figs: str, fixed: list[str], free: list[str]) -> list[int]:
+    """The keys an anchor probes: its substrings, and the first segment of what is left of it without some of its free words."""
+    anchor = " ".join(sorted(fixed + free))
+    out = {_key(figs, *x) for x in substrings(anchor)}
+    for k in range(1, MOST_NEW + 1):
+        for gone in combinations(range(len(free)), k):
+            rest = sorted(fixed + [w for i, w in enumerate(free) if i not in gone])
+            if rest:
+                out.add(_posts(figs, " ".join(rest))[0])
+    return list(out)
 
-def index(segments: DataFrame) -> DataFrame:
-    """The posting lists: one row a segment of a class. Appending a batch is a union."""
-    return segments.select("figs", F.explode("segs").alias("seg"), "form", "first_id", "names", "rare")
+
+def _rarest(figs: str, words: list[str], known: dict[str, bool]) -> list[int]:
+    """Keys of a title without an anchor: its uncommon words first, then by length, as many as leave fewer than two thirds out."""
+    if not words:
+        return [_key(figs)]
+    ranked = sorted(words, key=lambda w: (w in known, -len(w), w))
+    return [_key(figs, "word", w) for w in ranked[: len(ranked) - -(-2 * len(ranked) // 3) + 1]]
+
+
+def segmented(classed: DataFrame, words: dict[str, bool], plain: frozenset[str] = frozenset(), probing: bool = False) -> DataFrame:
+    """`classed` with figs, names, anchor, rare (uncommon words) and keys: of its segments or, with `probing`, those it probes with.
+
+    An uncommon word is no part of the anchor if it is in `plain`, or in lower case within a title of ordinary capitals.
+    """
+    known = classed.sparkSession.sparkContext.broadcast((words, plain))
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
+    names_ = ["form", "first_id", "figs", "names", "anchor", "loose", "rare", "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, ordinary = known.value
+        slip = Slips(common)
+        for b in batches:
+            out = []
+            for form, first, text in zip(*(c.to_pylist() for c in b.columns)):
+                ws = form.split(" ")
+                figs = " ".join(w for w in ws if w[0].isnumeric())
+                rest = [w for w in ws if not w[0].isnumeric()]
+                names, odd = [w for w in rest if common.get(w)], [w for w in rest if w not in common]
+                lower = {w for w in _cased(text) if w[0].islower()} | ordinary if odd else ()
+                rare = [w for w in odd if w not in lower]
+                free = [w for w in rare if not slip(w)]
+                anchor = " ".join(sorted(names + free))
+                loose = None
+                if not names and (probing or not anchor):
+                    loose = sorted({(slip(w) if w in odd else "") or w for w in rest if w not in free})
+                # What counts as ordinary is known of a title by its capitals; one without them has all its uncommon words.
+                whole = " ".join(sorted(names + [w for w in odd if not slip(w)]))
+                keys = {_key("form", form)}
+                if anchor:
+                    keys.update(_probes(figs, names, free) if probing else _posts(figs, anchor))
+                if whole != anchor:
+                    keys.update(_probes(figs, [whole], []) if probing else _posts(figs, whole))
+                if loose is not None:
+                    keys.update(_rarest(figs, loose, common))
+                keys = list(keys)
+                out.append((form, first, figs, " ".join(names), anchor, loose, rare, keys))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 8, types)], names=names_)
+
+    return classed.select("form", "first_id", "text").mapInArrow(run, _CLASS)
 
 
 def probe(posted: DataFrame, batch: DataFrame) -> DataFrame:
-    """(form, first_id): for each class of the batch the smallest id of a verified class of the index, where there is one."""
-    a = posted.select("figs", "names", "seg", F.col("form").alias("a"), F.col("first_id").alias("a_id"), F.col("rare").alias("a_rare"))
-    b = batch.select("figs", "names", F.explode("probes").alias("seg"), F.col("form").alias("b"), F.col("rare").alias("b_rare"))
-    pairs = a.join(b, ["figs", "names", "seg"]).where("a <> b")
-    return pairs.where(_same_story()).groupBy(F.col("b").alias("form")).agg(F.min("a_id").alias("first_id"))
+    """(form, first_id): for each class of the batch (`segmented` with its probes) the smallest id of an equal or verified class of the index, where there is one.
+
+    The batch's keys meet the index's in one pass over its keys; a batch too large to be broadcast is joined by a shuffle.
+    """
+    b = small(cut(batch.select(F.explode("keys").alias("key"), F.col("form").alias("b"), F.col("figs").alias("b_figs"), F.col("names").alias("b_names"), F.col("loose").alias("b_loose"), F.col("rare").alias("b_rare"))), BROADCAST_KEYS)
+    a = posted.select(F.explode("keys").alias("key"), F.col("form").alias("a"), F.col("first_id").alias("a_id"), "figs", "names", F.col("loose").alias("a_loose"), F.col("rare").alias("a_rare"))
+    pairs = a.join(b, "key").where("figs = b_figs and names = b_names")
+    return pairs.where((F.col("a") == F.col("b")) | _same_story()).groupBy(F.col("b").alias("form")).agg(F.min("a_id").alias("first_id"))
 
 
 def _same_story() -> Column:
@@ -141,61 +323,51 @@ def _same_story() -> Column:
     ao, bo = F.array_except(wa, wb), F.array_except(wb, wa)
     odd_a, odd_b = F.array_except("a_rare", wb), F.array_except("b_rare", wa)
     few = (F.least(F.size(ao), F.size(bo)) <= MOST_REPLACED) & (F.greatest(F.size(ao), F.size(bo)) <= MOST_ADDED) & (F.size(F.array_intersect(wa, wb)) * 2 >= F.least(F.size(wa), F.size(wb)))
+    few &= F.col("a_loose").isNull() | (F.size(F.array_intersect("a_loose", "b_loose")) * 3 >= F.greatest(F.size("a_loose"), F.size("b_loose")) * 2)
 
     def slips(odd: Column, other: Column, names: str) -> Column:
-        near = lambda x, y: (F.levenshtein(x, y, 2) >= 0) & ~F.array_contains(F.col(names), y)
+        near = lambda x, y: (F.levenshtein(x, y, SLIPS) >= 0) & ~F.array_contains(F.col(names), y)
         return F.filter(odd, lambda x: ~F.exists(other, lambda y: near(x, y)))
 
     # What the accepted title names, the new one names too; the new one may hold a few words nobody else uses.
-    return few & (F.size(slips(odd_a, bo, "b_rare")) == 0) & (F.size(slips(odd_b, ao, "a_rare")) <= 2)
+    return few & (F.size(slips(odd_a, bo, "b_rare")) == 0) & (F.size(slips(odd_b, ao, "a_rare")) <= MOST_NEW)
 
 
-def known_stories(headlines: DataFrame, incoming: DataFrame, site_labels: DataFrame | None = None) -> DataFrame:
-    """(kept_id, in_id): rows of `incoming` whose story an earlier row told, with the first such row.
+def store(titles: DataFrame, site_labels: DataFrame | None = None) -> Stored:
+    """The index of the titles (row_id, domain, title) accepted so far, with the labels and words learned from them."""
+    rows = titles.select("row_id", "domain", "title").where("row_id is not null")
+    labels, heads = known_labels(rows, site_labels)
+    labels = cut(labels)
+    classed = cut(classes(forms(rows, labels, heads)))
+    words = lexicon(classed)
+    return Stored(cut(segmented(classed, words)), labels, heads, words)
 
-    Blank titles tell nothing. Rows that only repeat one another are one class each; a class of any size is one row here.
-    """
-    cols = ["row_id", "domain", "title"]
-    titles = headlines.select(*cols).unionByName(incoming.select(*cols)).where("row_id is not null")
-    labels, heads = known_labels(titles, site_labels)
-    formed = cut(forms(titles, labels, heads).select("row_id", "form", "text"))
-    new = formed.join(incoming.select("row_id"), "row_id", "left_semi").select("row_id", "form")
-    classed = cut(classes(formed))
-    segments = cut(segmented(classed, lexicon(classed)))
-    batch = segments.join(new.select("form").distinct(), "form", "left_semi")
-    links = probe(index(segments), batch).unionByName(batch.select("form", "first_id"))
-    first = links.groupBy("form").agg(F.min("first_id").alias("kept_id"))
-    return new.join(first, "form").where("kept_id < row_id").select("kept_id", F.col("row_id").alias("in_id")).distinct()
 
+def check_batch(stored: Stored, titles: DataFrame) -> tuple[DataFrame, Stored]:
+    """((kept_id, in_id), the index with the batch): one batch (row_id, domain, title) against the stored index, without its history.
 
-def append(posted: DataFrame, batch: DataFrame) -> DataFrame:
-    """The index after a batch of `segmented` classes."""
-    return posted.unionByName(index(batch))
+    Ids of the batch lie above all ids of the index. A row's story may have been told by the index or earlier in the batch.
+    """
+    formed = cut(forms(titles.select("row_id", "domain", "title").where("row_id is not null"), stored.labels, stored.heads))
+    classed = cut(classes(formed))
+    plain = stored.plain | {w for w, name in lexicon(classed).items() if not name and w not in stored.words}
+    after = stored.posted.unionByName(cut(segmented(classed, stored.words, plain)))
+    n = stored.batches + 1
+    first = probe(after, segmented(classed, stored.words, plain, True))
+    found = cut(formed.join(first, "form").where("first_id < row_id").select(F.col("first_id").alias("kept_id"), F.col("row_id").alias("in_id")))
+    return found, replace(stored, posted=after if n % COMPACT_EVERY else cut(after), plain=plain, batches=n)
 
 
-def check_batch(posted: DataFrame, titles: DataFrame, words: DataFrame, labels: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((kept_id, in_id), index with the batch): one batch (row_id, domain, title) against a stored index, without its history.
+def known_stories(headlines: DataFrame, incoming: DataFrame, site_labels: DataFrame | None = None) -> DataFrame:
+    """(kept_id, in_id): rows of `incoming` whose story an earlier row told, with the first such row.
 
-    `words`, `labels` and `heads` are what the index was made with; ids of the batch lie above all ids of the index.
+    Each batch in turn goes through `check_batch` on the index of `headlines`, whose labels and words are kept as they are.
+    Rows without batch arrive last. Blank titles tell nothing. Rows that only repeat one another are one class each.
     """
-    formed = cut(forms(titles.select("row_id", "domain", "title"), labels, heads).select("row_id", "form", "text"))
-    batch = cut(segmented(classes(formed), words))
-    after = append(posted, batch)
-    same = posted.join(batch.select("form"), "form", "left_semi").select("form", "first_id")
-    links = probe(after, batch).unionByName(same).unionByName(batch.select("form", "first_id"))
-    first = links.groupBy("form").agg(F.min("first_id").alias("kept_id"))
-    return formed.join(first, "form").where("kept_id < row_id").select("kept_id", F.col("row_id").alias("in_id")), after
-
-
-def by_batches(headlines: DataFrame, incoming: DataFrame, site_labels: DataFrame | None = None) -> DataFrame:
-    """(kept_id, in_id): each batch of `incoming` in turn through `check_batch`, on an index of `headlines`."""
-    titles = headlines.select("row_id", "domain", "title").where("row_id is not null")
-    labels, heads = (cut(x) for x in known_labels(titles, site_labels))
-    classed = cut(classes(forms(titles, labels, heads).select("row_id", "form", "text")))
-    words = cut(lexicon(classed))
-    posted, out = cut(index(segmented(classed, words))), None
-    for k in sorted(r.batch for r in incoming.select("batch").where("batch is not null").distinct().collect()):
-        got, after = check_batch(posted, incoming.where((F.col("batch") == k) & F.col("row_id").isNotNull()), words, labels, heads)
-        got, posted = cut(got), cut(after)
-        out = got if out is None else out.unionByName(got)
-    return headlines.sparkSession.createDataFrame([], "kept_id bigint, in_id bigint") if out is None else out.distinct()
+    stored, out = store(headlines, site_labels), []
+    late = F.coalesce(F.col("batch").cast("long"), F.lit(1 << 62))
+    for k in sorted(r.k for r in incoming.select(late.alias("k")).distinct().collect()):
+        found, stored = check_batch(stored, incoming.where(late == k))
+        out.append(found)
+    empty = headlines.sparkSession.createDataFrame([], "kept_id bigint, in_id bigint")
+    return reduce(DataFrame.unionByName, out, empty).distinct()
