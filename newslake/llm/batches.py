@@ -25,7 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import pyarrow as pa
@@ -58,7 +58,7 @@ COMPACT_EVERY = 32
 #: Distinct words that a task holds while counting.
 MOST_HELD = 200_000
 
-_CLASS = "form string, first_id bigint, figs string, names string, anchor string, loose array<string>, rare array<string>, keys array<bigint>"
+_CLASS = "form string, first_id bigint, figs string, names string, anchor string, loose array<string>, rare array<string>, keys array<bigint>, probes array<bigint>"
 _SOFT = re.compile("­")
 _BREAKS = re.compile(r"[^\w]+|_+")
 _LEAD = re.compile(r"(?:^|[|:.?!–—-] )[\W\d_]*[^\W\d_]+")
@@ -138,8 +138,8 @@ def _cased(text: str) -> list[str]:
     ws = _words(text)
     if not ws or not ws[0][0].isupper():
         return []
-    upper = sum(w[0].isupper() for w in ws)
-    if upper >= sum(w[0].islower() for w in ws) or any(a.isalpha() and b.isupper() for w in ws for a, b in zip(w, w[1:])):
+    upper = [w for w in ws if w[0].isupper()]
+    if len(upper) >= sum(w[0].islower() for w in ws) or any(w[1:] != w[1:].lower() for w in ws):
         return []
     return [w for w in set(_words(_LEAD.sub(" ", text))) if w[0].isalpha()]
 
@@ -214,20 +214,35 @@ def substrings(text: str, slips: int = SLIPS) -> Iterator[tuple[int, int, str]]:
                 yield size, i, text[p : p + length]
 
 
+def _letters(word: str) -> int:
+    """The set of letters of a word, as bits."""
+    out = 0
+    for c in word:
+        out |= 1 << (ord(c) & 63)
+    return out
+
+
+@lru_cache(maxsize=2)
+def _worker_slips(words: tuple[str, ...]) -> Slips:
+    """One for the tasks of a Python worker."""
+    return Slips(dict.fromkeys(words, False))
+
+
 class Slips:
     """The common plain word that a word is a misspelling of, or '': found by a segment index over these words, the nearest first."""
 
     def __init__(self, words: dict[str, bool]):
-        self.by: dict[tuple[int, int, str], list[str]] = {}
+        self.by: dict[tuple[int, int, str], list[tuple[str, int]]] = {}
         self.memo: dict[str, str] = {}
         for w in (w for w, name in words.items() if not name):
             for i, (start, length) in enumerate(cuts(len(w))):
-                self.by.setdefault((len(w), i, w[start : start + length]), []).append(w)
+                self.by.setdefault((len(w), i, w[start : start + length]), []).append((w, _letters(w)))
 
     def __call__(self, word: str) -> str:
         got = self.memo.get(word)
         if got is None:
-            near = {w for key in substrings(word) for w in self.by.get(key, ())} if len(word) > SLIPS + 1 else ()
+            own = _letters(word)  # an edit adds or takes one letter each, at most
+            near = {w for key in substrings(word) for w, has in self.by.get(key, ()) if (own ^ has).bit_count() <= 2 * SLIPS} if len(word) > SLIPS + 1 else ()
             n, got = min(((edits(word, w), w) for w in near), default=(SLIPS + 1, ""))
             got = got if n <= SLIPS else ""
             if len(self.memo) > MOST_HELD:
@@ -264,18 +279,18 @@ def _rarest(figs: str, words: list[str], known: dict[str, bool]) -> list[int]:
     return [_key(figs, "word", w) for w in ranked[: len(ranked) - -(-2 * len(ranked) // 3) + 1]]
 
 
-def segmented(classed: DataFrame, words: dict[str, bool], plain: frozenset[str] = frozenset(), probing: bool = False) -> DataFrame:
-    """`classed` with figs, names, anchor, rare (uncommon words) and keys: of its segments or, with `probing`, those it probes with.
+def segmented(classed: DataFrame, words: dict[str, bool], plain: frozenset[str] = frozenset(), probing: bool = True) -> DataFrame:
+    """`classed` with figs, names, anchor, rare (uncommon words), the keys of its segments and, with `probing`, those it probes with.
 
     An uncommon word is no part of the anchor if it is in `plain`, or in lower case within a title of ordinary capitals.
     """
     known = classed.sparkSession.sparkContext.broadcast((words, plain))
-    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64())]
-    names_ = ["form", "first_id", "figs", "names", "anchor", "loose", "rare", "keys"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names_ = ["form", "first_id", "figs", "names", "anchor", "loose", "rare", "keys", "probes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, ordinary = known.value
-        slip = Slips(common)
+        slip = _worker_slips(tuple(w for w, name in common.items() if not name))
         for b in batches:
             out = []
             for form, first, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -287,32 +302,31 @@ def segmented(classed: DataFrame, words: dict[str, bool], plain: frozenset[str]
                 rare = [w for w in odd if w not in lower]
                 free = [w for w in rare if not slip(w)]
                 anchor = " ".join(sorted(names + free))
-                loose = None
-                if not names and (probing or not anchor):
-                    loose = sorted({(slip(w) if w in odd else "") or w for w in rest if w not in free})
+                loose = None if names else sorted({(slip(w) if w in odd else "") or w for w in rest if w not in free})
                 # What counts as ordinary is known of a title by its capitals; one without them has all its uncommon words.
-                whole = " ".join(sorted(names + [w for w in odd if not slip(w)]))
-                keys = {_key("form", form)}
+                whole = " ".join(sorted(names + [w for w in odd if not slip(w)])) if len(rare) < len(odd) else anchor
+                keys, probes = {_key("form", form)}, set()
                 if anchor:
-                    keys.update(_probes(figs, names, free) if probing else _posts(figs, anchor))
+                    keys.update(_posts(figs, anchor))
                 if whole != anchor:
-                    keys.update(_probes(figs, [whole], []) if probing else _posts(figs, whole))
-                if loose is not None:
+                    keys.update(_posts(figs, whole))
+                if loose is not None and not anchor:
                     keys.update(_rarest(figs, loose, common))
-                keys = list(keys)
-                out.append((form, first, figs, " ".join(names), anchor, loose, rare, keys))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 8, types)], names=names_)
+                if probing:
+                    probes.update(keys, _probes(figs, names, free) if anchor else (), _probes(figs, [whole], []) if whole != anchor else (), _rarest(figs, loose, common) if loose is not None else ())
+                out.append((form, first, figs, " ".join(names), anchor, loose, rare, list(keys), list(probes)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 9, types)], names=names_)
 
     return classed.select("form", "first_id", "text").mapInArrow(run, _CLASS)
 
 
 def probe(posted: DataFrame, batch: DataFrame) -> DataFrame:
-    """(form, first_id): for each class of the batch (`segmented` with its probes) the smallest id of an equal or verified class of the index, where there is one.
+    """(form, first_id): for each class of the batch (`segmented`) the smallest id of an equal or verified class of the index, where there is one.
 
     The batch's keys meet the index's in one pass over its keys; a batch too large to be broadcast is joined by a shuffle.
     """
-    b = small(cut(batch.select(F.explode("keys").alias("key"), F.col("form").alias("b"), F.col("figs").alias("b_figs"), F.col("names").alias("b_names"), F.col("loose").alias("b_loose"), F.col("rare").alias("b_rare"))), BROADCAST_KEYS)
-    a = posted.select(F.explode("keys").alias("key"), F.col("form").alias("a"), F.col("first_id").alias("a_id"), "figs", "names", F.col("loose").alias("a_loose"), F.col("rare").alias("a_rare"))
+    b = small(cut(batch.select(F.explode("probes").alias("key"), F.col("form").alias("b"), F.col("figs").alias("b_figs"), F.col("names").alias("b_names"), F.col("loose").alias("b_loose"), F.col("rare").alias("b_rare"))), BROADCAST_KEYS)
+    a = posted.select(F.explode("keys").alias("key"), F.col("form").alias("a"), F.col("first_id").alias("a_id"), "figs", "names", F.col("loose").alias("a_loose"), F.col("anchor").alias("a_anchor"), F.col("rare").alias("a_rare"))
     pairs = a.join(b, "key").where("figs = b_figs and names = b_names")
     return pairs.where((F.col("a") == F.col("b")) | _same_story()).groupBy(F.col("b").alias("form")).agg(F.min("a_id").alias("first_id"))
 
@@ -323,7 +337,7 @@ def _same_story() -> Column:
     ao, bo = F.array_except(wa, wb), F.array_except(wb, wa)
     odd_a, odd_b = F.array_except("a_rare", wb), F.array_except("b_rare", wa)
     few = (F.least(F.size(ao), F.size(bo)) <= MOST_REPLACED) & (F.greatest(F.size(ao), F.size(bo)) <= MOST_ADDED) & (F.size(F.array_intersect(wa, wb)) * 2 >= F.least(F.size(wa), F.size(wb)))
-    few &= F.col("a_loose").isNull() | (F.size(F.array_intersect("a_loose", "b_loose")) * 3 >= F.greatest(F.size("a_loose"), F.size("b_loose")) * 2)
+    few &= (F.col("a_anchor") != "") | (F.size(F.array_intersect("a_loose", "b_loose")) * 3 >= F.greatest(F.size("a_loose"), F.size("b_loose")) * 2)
 
     def slips(odd: Column, other: Column, names: str) -> Column:
         near = lambda x, y: (F.levenshtein(x, y, SLIPS) >= 0) & ~F.array_contains(F.col(names), y)
@@ -340,7 +354,7 @@ def store(titles: DataFrame, site_labels: DataFrame | None = None) -> Stored:
     labels = cut(labels)
     classed = cut(classes(forms(rows, labels, heads)))
     words = lexicon(classed)
-    return Stored(cut(segmented(classed, words)), labels, heads, words)
+    return Stored(cut(segmented(classed, words, probing=False).drop("probes")), labels, heads, words)
 
 
 def check_batch(stored: Stored, titles: DataFrame) -> tuple[DataFrame, Stored]:
@@ -351,9 +365,10 @@ def check_batch(stored: Stored, titles: DataFrame) -> tuple[DataFrame, Stored]:
     formed = cut(forms(titles.select("row_id", "domain", "title").where("row_id is not null"), stored.labels, stored.heads))
     classed = cut(classes(formed))
     plain = stored.plain | {w for w, name in lexicon(classed).items() if not name and w not in stored.words}
-    after = stored.posted.unionByName(cut(segmented(classed, stored.words, plain)))
+    batch = cut(segmented(classed, stored.words, plain))
+    after = stored.posted.unionByName(batch.drop("probes"))
     n = stored.batches + 1
-    first = probe(after, segmented(classed, stored.words, plain, True))
+    first = probe(after, batch)
     found = cut(formed.join(first, "form").where("first_id < row_id").select(F.col("first_id").alias("kept_id"), F.col("row_id").alias("in_id")))
     return found, replace(stored, posted=after if n % COMPACT_EVERY else cut(after), plain=plain, batches=n)
 

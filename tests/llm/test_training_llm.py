@@ -133,7 +133,7 @@ def test_known_stories(spark):
 
 def _pairs(spark, posted, batch):
     """All pairs of two small tables that verification accepts, without any key."""
-    a = posted.select(F.col("form").alias("a"), F.col("first_id").alias("a_id"), "figs", "names", F.col("loose").alias("a_loose"), F.col("rare").alias("a_rare"))
+    a = posted.select(F.col("form").alias("a"), F.col("first_id").alias("a_id"), "figs", "names", F.col("loose").alias("a_loose"), F.col("anchor").alias("a_anchor"), F.col("rare").alias("a_rare"))
     b = batch.select(F.col("form").alias("b"), F.col("figs").alias("b_figs"), F.col("names").alias("b_names"), F.col("loose").alias("b_loose"), F.col("rare").alias("b_rare"))
     hit = a.crossJoin(b).where("figs = b_figs and names = b_names").where((F.col("a") == F.col("b")) | batches._same_story())
     return {x.b: x.i for x in hit.groupBy("b").agg(F.min("a_id").alias("i")).collect()}
@@ -156,7 +156,7 @@ def test_probe_against_brute_force(spark):
 
     old, new = ({title() for _ in range(250)} for _ in range(2))
     frame = lambda fs: spark.createDataFrame([(f, i, f) for i, f in enumerate(sorted(fs))], "form string, first_id long, text string")
-    posted, batch = batches.segmented(frame(old), known).cache(), batches.segmented(frame(new), known, probing=True).cache()
+    posted, batch = batches.segmented(frame(old), known).cache(), batches.segmented(frame(new), known).cache()
     got, want = {x.form: x.first_id for x in batches.probe(posted, batch).collect()}, _pairs(spark, posted, batch)
     assert got == want and len(got) > 50
 
@@ -175,7 +175,7 @@ def test_a_misspelling_is_no_titles_only_key(spark):
     pairs = [("5 bartown mayor unpiad", "5 bartown mayor unpaid"), ("7 late mayor unpiad", "7 late mayor unpaid"), ("8 9 unpiad", "8 9 unpaid"), ("12", "12")]
     common = {"bartown": True, "mayor": False, "unpaid": False, "late": False}
     frame = lambda k: spark.createDataFrame([(p[k], 10 * k + i, p[k]) for i, p in enumerate(pairs)], "form string, first_id long, text string")
-    got = {x.form: x.first_id for x in batches.probe(batches.segmented(frame(0), common), batches.segmented(frame(1), common, probing=True)).collect()}
+    got = {x.form: x.first_id for x in batches.probe(batches.segmented(frame(0), common), batches.segmented(frame(1), common)).collect()}
     assert got == {b: i for i, (_, b) in enumerate(pairs)}
 
 
@@ -368,7 +368,7 @@ def test_batch_by_batch_against_brute_force(spark):
     all_ = batches.forms(df, stored.labels, stored.heads).cache()
     form = {x.row_id: x.form for x in all_.collect()}
     classed = batches.classes(all_)
-    first = _pairs(spark, batches.segmented(classed, stored.words), batches.segmented(classed, stored.words, probing=True))
+    first = _pairs(spark, batches.segmented(classed, stored.words), batches.segmented(classed, stored.words))
     assert got == {i: first[f] for i, f in form.items() if i > 200 and first[f] < i} and len(got) > 100
 
 
