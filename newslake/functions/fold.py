@@ -28,9 +28,9 @@ def _pairs() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case, composed letters to their base, combining marks dropped, special letters spelt out; null stays null."""
+    """Invalid UTF-8 replaced, lower case, composed letters to their base, combining marks dropped, special letters spelt out; null stays null."""
     src, dst = _pairs()
-    out = F.regexp_replace(F.translate(F.lower(text), src, dst), r"\p{Mn}", "")
+    out = F.regexp_replace(F.translate(F.lower(F.make_valid_utf8(text)), src, dst), r"\p{Mn}", "")
     for a, b in DOUBLE.items():
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
@@ -48,6 +48,11 @@ def tokens(folded: Column) -> Column:
     return F.filter(F.split(folded, r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"), lambda w: w != "")
 
 
+def fragments(text: str, least: int = 4) -> list[str]:
+    """The folded runs of letters and digits of a substring pattern, long ones only: every match has them all."""
+    return [w for w in query_words(text.lower()) if len(w) >= least]
+
+
 def query_words(text: str) -> list[str]:
     """Words of a query: runs of letters and digits of any script, folded; marks alone vanish."""
     return [w for w in (fold_py(w) for w in re.findall(r"[^\W_]+", text)) if w]

@@ -41,12 +41,17 @@ def shares(series: DataFrame, totals: DataFrame, measure: str = "stories") -> Da
     return series.join(t, "month", "left").select("series", "month", F.col(measure).alias("value"), F.round(share(F.col(measure), F.col("_t")), 6).alias("share"))
 
 
-def filled(series: DataFrame, first: str, last: str) -> DataFrame:
-    """Every month of a range of every series, 0 where there is nothing."""
+def filled(series: DataFrame, first: str, last: str, begins: dict[str, str] | None = None) -> DataFrame:
+    """Every month of a range of every series: 0 where there is nothing, null before the month a series' collections begin (`begins`, by name)."""
     months = series.sparkSession.sql(f"select explode(sequence(date'{first}', date'{last}', interval 1 month)) as month")
     names = series.select("series").distinct()
     frame = names.crossJoin(F.broadcast(months))  # series are at most MAX_SERIES, months a few hundred
-    return frame.join(series, ["series", "month"], "left").select("series", "month", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("stories", "outlets", "articles")))
+    out = frame.join(series, ["series", "month"], "left")
+    start = F.lit(None).cast("date")
+    for name, day in (begins or {}).items():
+        start = F.when(F.col("series") == name, F.trunc(F.lit(day).cast("date"), "MONTH")).otherwise(start)
+    there = start.isNull() | (F.col("month") >= start)
+    return out.select("series", "month", *(F.when(there, F.coalesce(c, F.lit(0))).alias(c) for c in ("stories", "outlets", "articles")))
 
 
 def peaks(series: DataFrame, measure: str = "stories") -> DataFrame:

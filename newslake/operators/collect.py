@@ -5,34 +5,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query parameters that only track, two-level suffixes, words that tell English from other languages.
-TRACKING = r"^(utm_[^=]*|fbclid|gclid|ocid|cmpid|at_medium|at_campaign|ns_[^=]*)(=|$)"
-SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.nz co.za com.br co.in co.jp com.mx com.ar com.tr com.cn com.sg com.hk com.my com.ph co.kr co.il".split()
-ENGLISH = "the and of to in is for with on from that by at as it are".split()
-OTHER = "der die und das le la les des et que los las el di il che een het van och att det nie jest".split()
+# Query parameters that only track, two-level suffixes, function words of English and of other languages,
+# phrases of challenge pages, urls of a platform's feeds.
+TRACKING = r"^(utm_.*|fbclid|gclid|ocid|cmpid|cmp|ns_.*|mc_.*|ito|ftag|src|ref|sref|rss|output|s|ss|smid|smtyp|partner|icid|ICID|itm_.*|_gl|taid|guccounter|guce_referrer.*|syn-.*)$"
+SUFFIXES = (
+    "co.uk com.au co.nz co.za com.ph co.in org.uk gov.uk ac.uk net.au org.au com.br com.mx co.jp com.sg com.hk com.pk com.bd com.ng co.ke com.my com.tr"
+).split()
+ENGLISH = """
+the a an of to in is are and for on with how why what your you my this that it its not from
+by at be as or we i can do will new about vs into than more most all when who one our their has have was
+were up out no get make just over after before first best top guide review tips things ways should could
+would every don't dont without between through
+""".split()
+OTHER = """
+yang dan dengan untuk tidak ini itu dari adalah kita saya que con una las los del como para
+uma não você dos das der und ist mit für nicht eine les des est une pour dans che per non gli sono della
+och att för är med ile bir için ve bu och
+""".split()
+CHALLENGE = r"(?i)Just a moment|Please enable JS|challenge-platform|_cf_chl|cf-browser-verification|captcha-delivery|DataDome|Access Denied|Request unsuccessful|Incapsula|perimeterx|px-captcha|/_fs-ch-"
+PLATFORM_FEED = r"/search/\?f=rss|/tncms/"
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, `/` for no path, tracking parameters and fragment dropped; null for other schemes."""
-    m = lambda i: F.regexp_extract(url, r"^(?i)(https?)://([^/?#]+)([^?#]*)(?:\?([^#]*))?", i)
-    query = F.array_join(F.filter(F.split(m(4), "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
+    """Host in lower case, `/` for no path, tracking parameters and fragment dropped, the others encoded anew; '' for null and other schemes."""
+    m = lambda i: F.regexp_extract(F.trim(url), r"^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
+    plain = lambda x: F.coalesce(F.try_url_decode(x), F.replace(x, F.lit("+"), F.lit(" ")))
+    coded = lambda x: F.replace(F.replace(F.url_encode(plain(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    name = lambda p: F.regexp_extract(p, "^[^=]*", 0)
+    kept = F.filter(F.split(m(4), "&"), lambda p: (p != "") & ~plain(name(p)).rlike(TRACKING))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(coded(name(p)), F.lit("="), coded(F.regexp_extract(p, "=(.*)$", 1)))), "&")
     path = F.when(m(3) == "", "/").otherwise(m(3))
-    return F.when(m(1) != "", F.concat(F.lower(m(1)), F.lit("://"), F.lower(m(2)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    full = F.concat(m(1), F.lit("://"), F.lower(m(2)), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return F.when(F.coalesce(m(1), F.lit("")) != "", full).otherwise("")
 
 
 def registrable(url: Column) -> Column:
     """The site of a url: its host without port and `www.`, cut to the last two labels, or three under a two-level suffix."""
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1)), r":\d+$", ""), r"^www\.", "")
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(F.trim(url), r"^[a-zA-Z]+://([^/?#]+)", 1)), r":\d+$", ""), r"^www\.", "")
     parts = F.split(host, r"\.")
     tail = lambda n: F.array_join(F.slice(parts, F.greatest(F.size(parts) - n + 1, F.lit(1)), F.lit(n)), ".")
     return F.when(tail(2).isin(*SUFFIXES), tail(3)).otherwise(tail(2))
 
 
 def slug_title(url: Column) -> Column:
-    """A title from the last path segment: a trailing id of 8 to 16 hex digits dropped, hyphens as spaces, percent codes decoded."""
-    last = F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"/([^/]*)/?$", 1)
-    words = F.regexp_replace(F.regexp_replace(last, r"-[0-9a-f]{8,16}$", ""), "-", " ")
-    return F.trim(F.try_url_decode(F.replace(words, F.lit("+"), F.lit("%2B"))))
+    """A title from the last path segment: a trailing id of 8 to 16 hex digits dropped, percent codes decoded, hyphens as spaces."""
+    words = F.try_url_decode(F.replace(F.regexp_replace(_last_segment(url), _POST_ID, ""), F.lit("+"), F.lit("%2B")))
+    return F.trim(F.regexp_replace(F.replace(words, F.lit("-"), F.lit(" ")), r"\s+", " "))
+
+
+_POST_ID = r"-[0-9a-f]{8,16}$"
+
+
+def _last_segment(url: Column) -> Column:
+    return F.regexp_extract(F.regexp_replace(url, r"[?#].*$", ""), r"^[^:]+://[^/]*.*?/([^/]*)/*$", 1)
+
+
+def slug_post_id(url: Column) -> Column:
+    """The trailing id of a slug, else ''."""
+    return F.regexp_extract(_last_segment(url), r"-([0-9a-f]{8,16})$", 1)
+
+
+def slug_site(url: Column, shared: str = "medium.com") -> Column:
+    """The publication of a post: the first of two or more path segments on the shared host, else the host."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1))
+    segments = F.filter(F.split(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "/"), lambda x: x != "")
+    return F.when((host == shared) & (F.size(segments) >= 2), F.get(segments, F.lit(0))).otherwise(host)
 
 
 def guess_lang(title: Column) -> Column:
@@ -42,12 +79,15 @@ def guess_lang(title: Column) -> Column:
     return F.when(F.arrays_overlap(words, lit(OTHER)), "").when(F.arrays_overlap(words, lit(ENGLISH)), "en").otherwise("")
 
 
-def classify_fetch(http: Column, error: Column, size: Column, head: Column) -> Column:
-    """The label of a fetch, the first that holds."""
-    challenge = F.substring(head, 1, 20_000).rlike(r"(?i)captcha|are you a robot|attention required|just a moment")
+def classify_fetch(http: Column, body: Column) -> Column:
+    """The label of a fetch, the first that holds: status 0 or null is a network error; a body counts by what it begins with."""
+    challenged = F.substring(body, 1, 20_000).rlike(CHALLENGE)
+    head = F.lower(F.regexp_replace(F.substring(body, 1, 2000), r"^[\ufeff\s]+", ""))
+    page = head.rlike(r"^(<!doctype html|<html)") | F.contains(F.substring(head, 1, 300), F.lit("<html"))
+    challenge_too = http.isin(429, 503) & F.coalesce(challenged, F.lit(False))
     return (
-        F.when(http == 304, "304").when(F.coalesce(error, F.lit("")) != "", "error").when(challenge, "blocked").when(http != 200, F.concat(F.lit("http "), http.cast("string")))
-        .when(size == 0, "empty").when(F.lower(F.ltrim(head)).rlike("^(<!doctype html|<html)"), "html").otherwise("ok")
+        F.when(http == 304, "304").when(F.coalesce(http, F.lit(0)) == 0, "error").when(http.isin(401, 403) | challenge_too, "blocked").when(http >= 400, F.concat(F.lit("http "), http.cast("string")))
+        .when(F.trim(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", "")) == "", "empty").when(page, F.when(challenged, "blocked").otherwise("html")).otherwise("ok")
     )
 
 
@@ -74,8 +114,10 @@ def poll_queue(index: DataFrame, state: DataFrame, now: Column, horizon: Column)
 
 
 def feed_groups(feeds: DataFrame) -> DataFrame:
-    """`feeds` (domain, url, host, enabled) with the group that shares a rate limit: one for all sites of a platform, else the host."""
-    blox = F.col("url").rlike(r"/search/\?f=rss|/tncms/")
+    """Enabled `feeds` (domain, url, host, enabled, perhaps platform) with the group that shares a rate limit: one for all sites of a platform, else the host."""
+    blox = F.coalesce(F.col("url").rlike(PLATFORM_FEED), F.lit(False))
+    if "platform" in feeds.columns:
+        blox |= F.coalesce(F.col("platform") == "blox", F.lit(False))
     w = Window.partitionBy("domain")  # a site's few feeds
     return feeds.where("enabled").withColumn("group", F.when(F.max(blox).over(w), "blox").otherwise(F.col("host")))
 
@@ -97,7 +139,7 @@ def chosen_candidates(candidates: DataFrame) -> DataFrame:
 
 
 def merge_state(state: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Site states after updates: an update's values where it has any, `fetched` only of good fetches."""
+    """Site states after updates: an update's values where it has any, `fetched` only of good fetches; a `domain` is where a site's own subdomain redirected to."""
     rest = [c for c in state.columns if c not in keys]
     both = state.select(*keys, *(F.col(c).alias(f"_o_{c}") for c in rest)).join(updates.select(*keys, *(F.col(c).alias(f"_n_{c}") for c in rest)), keys, "full_outer")
     good = F.coalesce("_n_status", F.lit("")).isin("ok", "304")
@@ -125,6 +167,94 @@ def reactions(counts: Column) -> Column:
 
 
 def leaderboard(rows: DataFrame) -> DataFrame:
-    """(subdomain, name, subscribers, categories): listings (place, category, subdomain, name, subscribers) as one row a blog."""
-    cats = F.transform(F.array_sort(F.collect_list(F.struct("place", "category"))), lambda x: x["category"])
-    return rows.groupBy("subdomain").agg(F.min_by("name", "place").alias("name"), F.max("subscribers").alias("subscribers"), F.substring(F.array_join(F.array_distinct(cats), ", "), 1, 500).alias("categories"))
+    """(subdomain, domain, base_url, name, language, subscribers, categories): listings (place, category, subdomain, ...) as one row a blog.
+
+    The first listing gives the fields, categories keep their order once each, cut at 500 characters; null counts are 0.
+    """
+    cats = F.transform(F.array_sort(F.collect_list(F.struct("place", "category"))), lambda x: x["category"])  # a blog is in a few dozen categories
+    first = [F.min_by(F.coalesce(c, F.lit("")), "place").alias(c) for c in ("domain", "base_url", "name", "language") if c in rows.columns]
+    per = rows.where("subdomain <> ''").groupBy(F.lower("subdomain").alias("subdomain"))
+    return per.agg(*first, F.max(F.coalesce("subscribers", F.lit(0))).alias("subscribers"), F.substring(F.array_join(F.array_distinct(cats), ", "), 1, 500).alias("categories"))
+
+
+def pages_to_read(pages: DataFrame, since: DataFrame, most: int = 4, full: int = 10) -> DataFrame:
+    """(site, page): the archive pages read of each site: on while the page before is full and all newer than what is stored.
+
+    pages: (site, page from 0, oldest, posts); since: (site, ts). A site without `since` has nothing stored; a page without dates ends it.
+    """
+    known = pages.join(since.select("site", F.col("ts").alias("_since")), "site", "left")
+    on = F.coalesce((F.col("posts") >= full) & (F.col("_since").isNull() | (F.col("oldest") > F.col("_since"))) & F.col("oldest").isNotNull(), F.lit(False))
+    before = Window.partitionBy("site").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # at most a few pages a site
+    return known.where(F.col("page") < most).withColumn("_on", F.coalesce(F.min(on).over(before), F.lit(True))).where("_on").select("site", "page")
+
+
+def files_to_read(listed: DataFrame, state: DataFrame, today: str, days: int = 7) -> DataFrame:
+    """(file, day, lastmod) of daily files within `days` before `today` that are new, failed, or changed since they were read; by day."""
+    t = F.lit(today).cast("date")
+    had = state.select("file", F.col("lastmod").alias("_had"), F.col("status").alias("_status"))
+    recent = listed.where((F.col("day") >= F.date_sub(t, days)) & (F.col("day") <= t)).join(had, "file", "left")
+    read = F.coalesce(F.col("_status").isin("ok", "304") & (F.col("_had") == F.col("lastmod")), F.lit(False))
+    return recent.where(~read).select("file", "day", "lastmod").orderBy("day", "file")
+
+
+def walk_queue(sites: DataFrame, marks: DataFrame, since: Column, unfetched: bool = False) -> DataFrame:
+    """(site, lastmod): sites whose archive is to be walked back: active since, not refused or gone, not walked to the end, newest first."""
+    open_ = sites.where((F.col("lastmod") >= since) & ~F.coalesce("status", F.lit("")).isin("blocked", "robots", "http 404", "http 410"))
+    if unfetched:
+        open_ = open_.where("fetched is null or year(fetched) <= 2000")
+    return open_.join(marks.where("done").select("site"), "site", "left_anti").select("site", "lastmod").orderBy(F.col("lastmod").desc(), "site")
+
+
+def queued(rows: DataFrame, queue: DataFrame, key: str = "site") -> DataFrame:
+    """The rows of the queued sites."""
+    return rows.join(queue.select(key), key, "left_semi")
+
+
+def on_own_domain(posts: DataFrame, sites: DataFrame) -> DataFrame:
+    """The posts of the sites that have a domain of their own."""
+    return queued(posts, sites.where("domain <> ''"))
+
+
+def new_and_changed(rows: DataFrame, key: str, seen: Column) -> DataFrame:
+    """(key, new, changed): what one run stored of each feed or site, and how much of it were edits."""
+    return rows.where(F.col("seen") == seen).groupBy(key).agg(F.count(F.lit(1)).alias("new"), F.count_if(F.col("version") > 1).alias("changed"))
+
+
+def item_extent(items: DataFrame, key: str = "url") -> DataFrame:
+    """(key, items, newest, oldest, sample, sample_url): the items of each candidate; the sample is its first by `place`, cut at 120 characters."""
+    first = F.min_by(F.struct("title", "item_url"), "place")
+    return items.groupBy(key).agg(F.count(F.lit(1)).alias("items"), F.max("ts").alias("newest"), F.min("ts").alias("oldest"), F.substring(first["title"], 1, 120).alias("sample"), first["item_url"].alias("sample_url"))
+
+
+def page_report(pages: DataFrame, files_a_day: int = 16) -> DataFrame:
+    """(pages, titled, files, sites, pages_a_file, pages_a_day, sites_a_day) of sampled pages (file, ts, url, title); one row, whole-number estimates."""
+    n, k = F.col("pages"), F.greatest(F.col("files"), F.lit(1))
+    per = pages.agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("title") != "").alias("titled"), F.countDistinct("file").alias("files"), F.countDistinct(registrable(F.col("url"))).alias("sites"))
+    whole = lambda x: F.floor(x).cast("long")
+    return per.select("*", whole(n / k).alias("pages_a_file"), whole(n * files_a_day / k).alias("pages_a_day"), whole(F.col("sites") * files_a_day / k).alias("sites_a_day"))
+
+
+def lost_outlets(sites: DataFrame, lost: DataFrame) -> DataFrame:
+    """(site, n, was): which lost outlets (site, was) are among the counted sites (site, n); n is null for the absent."""
+    return lost.select("site", "was").join(sites.select("site", "n"), "site", "left").select("site", "n", "was")
+
+
+def sampled_files(files: DataFrame, days: int, per_day: int, seed: int = 0) -> DataFrame:
+    """(month, day, file): of each month `days` days and of each of those `per_day` files (file, day), drawn by a hash and the seed."""
+    rows = files.withColumn("month", F.trunc("day", "MONTH"))
+    drawn = lambda *c: F.xxhash64(*c, F.lit(seed))
+    kept = rows.select("month", "day").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("month").orderBy(drawn("day"), "day"))).where(F.col("_r") <= days)
+    chosen = rows.join(F.broadcast(kept.drop("_r")), ["month", "day"]).withColumn("_r", F.row_number().over(Window.partitionBy("day").orderBy(drawn("file"), "file")))  # a day's few files
+    return chosen.where(F.col("_r") <= per_day).select("month", "day", "file")
+
+
+def file_queue(files: DataFrame, newest_first: bool = True, most: int | None = None) -> DataFrame:
+    """Files (name, ...) in the order they are read, at most so many."""
+    out = files.orderBy(F.col("name").desc() if newest_first else F.col("name"))
+    return out if most is None else out.limit(most)
+
+
+def staged(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row a key of what a run collected, the first by (seen, row_id)."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("seen", "row_id")).alias("_x")).select(*keys, "_x.*").select(*rows.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from newslake.functions.text import page, seconds, squeezed
 from newslake.operators.ordered import value_runs
+from newslake.session import cut
 
 LEDGER = "entity string, value string, valid_from bigint, valid_to bigint, recorded_from bigint, recorded_to bigint"
 _SEP = "\x1f"
@@ -84,14 +85,23 @@ def split_entity(df: DataFrame) -> DataFrame:
     return df.withColumn("page", parts[0]).withColumn("kind", parts[1]).drop("entity")
 
 
-def changed_titles(rows: DataFrame) -> DataFrame:
-    """(page, kind, valid_from, valid_to): the live ledger of `collect_headlines`, entities with at least two periods; valid_to 0 for the last."""
-    live = load(title_sightings(rows), 0).where("recorded_to is null")
-    many = split_entity(live).select("page", "kind", "valid_from", "valid_to")
-    last = F.col("valid_to").isNull()
-    first_only = many.where(last).select("page", "kind", F.col("valid_from").alias("_last"))
+def loaded_by_days(rows: DataFrame, loads: tuple[int, ...] = (0, 2, 1)) -> DataFrame:
+    """The ledger of `collect_headlines` after several loads, one a recorded time from 1 on: load k takes the sightings whose UTC day is `loads[k]` by its remainder.
+
+    So later loads bring sightings from between those known, and supersede periods that these split.
+    """
+    log = cut(title_sightings(rows))
+    mine = F.pmod(F.floor(F.col("seen") / 86400), F.lit(len(loads)))
+    ledger = load(log.where(mine == loads[0]), 1)
+    for k in range(1, len(loads)):
+        ledger = cut(record(ledger, log.where(mine.isin(*loads[:k])), log.where(mine == loads[k]), k + 1))
+    return ledger
+
+
+def changed_titles(ledger: DataFrame) -> DataFrame:
+    """(page, kind, valid_from, valid_to): the rows of a ledger that still hold, of entities with at least two periods; valid_to 0 for the last."""
+    live = ledger.where("recorded_to is null")
     # An entity has two periods or more exactly if one of its periods has an end.
-    ended = many.where(~last)
-    firsts = ended.select("page", "kind").distinct()
-    tails = first_only.join(firsts, ["page", "kind"], "left_semi").select("page", "kind", F.col("_last").alias("valid_from"), F.lit(0).cast("long").alias("valid_to"))
-    return ended.unionByName(tails).distinct()
+    several = live.where("valid_to is not null").select("entity").distinct()
+    shown = split_entity(live.join(several, "entity", "left_semi"))
+    return shown.select("page", "kind", "valid_from", F.coalesce("valid_to", F.lit(0)).cast("long").alias("valid_to")).distinct()

@@ -2,7 +2,8 @@
 
 Each event has a period (its UTC day) and an arrival. Per key (table, period, site) the state is a count with a
 version, the day of arrival. An event in time changes the state of its arrival's version; the change goes downstream as
-a pair of deltas, the old value negative and the new one positive. Events past the cut-off change nothing.
+a pair of deltas, the old value negative and the new one positive. Events past the cut-off change nothing. What became of a
+late event is read off the deltas.
 """
 
 from __future__ import annotations
@@ -34,25 +35,34 @@ def first_events(rows: DataFrame, tbl: str) -> DataFrame:
     return out.withColumn("period", F.floor(F.col("event") / _DAY).cast("long"))
 
 
-def outcomes(events: DataFrame, lateness_hours: int = LATENESS_HOURS) -> DataFrame:
-    """`events` with `outcome`: `on_time` (seen before the period's end), `corrects` (less than the lateness after it), `dropped`."""
-    end = (F.col("period") + 1) * _DAY
-    return events.withColumn("outcome", F.when(F.col("seen") < end, "on_time").when(F.col("seen") < end + lateness_hours * 3600, "corrects").otherwise("dropped"))
+def deltas(events: DataFrame, lateness_hours: int = LATENESS_HOURS) -> DataFrame:
+    """(tbl, period, site, version, kind, n, until): the differential stream of the counts.
 
-
-def deltas(classified: DataFrame) -> DataFrame:
-    """(tbl, period, site, version, kind, n): the differential stream of the counts.
-
-    Version v is the day of arrival. The first version of a key emits one positive delta; each later one retracts the value
-    before (negative, kind `retract`) and asserts the new one (positive, kind `assert`). The sum of all deltas of a key up to
-    a version is the count as of that version. At most 1 + lateness/24 h versions exist a key, so the window is small.
+    Version v is the day of arrival. Events seen `lateness_hours` or more after their period's end are past the cut-off and
+    change nothing. The first version of a key emits one positive delta; each later one retracts the value before (negative,
+    kind `retract`) and asserts the new one (positive, kind `assert`). The sum of all deltas of a key up to a version is the
+    count as of that version; `until` is the last arrival it holds. At most 1 + lateness/24 h versions exist a key, so the
+    window is small.
     """
-    per = classified.where("outcome <> 'dropped'").groupBy("tbl", "period", "site", F.floor(F.col("seen") / _DAY).cast("long").alias("version")).agg(F.count(F.lit(1)).alias("added"))
+    taken = events.where(F.col("seen") < (F.col("period") + 1) * _DAY + lateness_hours * 3600)
+    per = taken.groupBy("tbl", "period", "site", F.floor(F.col("seen") / _DAY).cast("long").alias("version")).agg(F.count(F.lit(1)).alias("added"), F.max("seen").alias("until"))
     w = Window.partitionBy("tbl", "period", "site").orderBy("version")
     run = per.withColumn("new", F.sum("added").over(w)).withColumn("old", F.col("new") - F.col("added"))
-    both = run.select("tbl", "period", "site", "version", F.explode(F.array(
+    both = run.select("tbl", "period", "site", "version", "until", F.explode(F.array(
         F.struct(F.lit("retract").alias("kind"), (-F.col("old")).alias("n")), F.struct(F.lit("assert").alias("kind"), F.col("new").alias("n")))).alias("d"))
-    return both.select("tbl", "period", "site", "version", "d.kind", "d.n").where("n <> 0")
+    return both.select("tbl", "period", "site", "version", "d.kind", "d.n", "until").where("n <> 0")
+
+
+def ruled(events: DataFrame, emitted: DataFrame) -> DataFrame:
+    """(tbl, id, outcome) of the events seen after their period's end, read off the emitted deltas.
+
+    A late event `corrects` if the version of its arrival asserted a new value that holds it, else it was `dropped`.
+    """
+    version = F.floor(F.col("seen") / _DAY).cast("long")
+    late = events.where(F.col("seen") >= (F.col("period") + 1) * _DAY).select("tbl", "id", "period", "site", "seen", version.alias("version"))
+    said = emitted.where("kind = 'assert'").select(F.col("tbl").alias("_t"), F.col("period").alias("_p"), F.col("site").alias("_s"), F.col("version").alias("_v"), "until")
+    hit = (F.col("tbl") == F.col("_t")) & (F.col("period") == F.col("_p")) & F.col("site").eqNullSafe(F.col("_s")) & (F.col("version") == F.col("_v"))
+    return late.join(said, hit, "left").select("tbl", "id", F.when(F.col("seen") <= F.col("until"), "corrects").otherwise("dropped").alias("outcome"))
 
 
 def apply_deltas(state: DataFrame, changes: DataFrame) -> DataFrame:

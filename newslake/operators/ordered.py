@@ -70,6 +70,7 @@ def adjacent_copies(df: DataFrame, key: Column, id_: Column, label: Column | Non
     """
     spark = df.sparkSession
     rows = df.select(key.alias("k"), id_.cast("long").alias("i"), (F.lit(None) if label is None else label).cast("string").alias("l")).where("k is not null and i is not null")
+    rows = cut(rows)  # else the range bounds' sample makes the keys again
     scanned = cut(sorted_parts(rows, "k", "i").mapInArrow(lambda it: _scan_copies(it, heads_too), _COPIES))
     edges = scanned.where("copy_id is null").select("part", "keep_id", "label", "open", "first_key", "last_key").collect()  # one row a partition
     moved, carry = [], None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,13 +15,16 @@ from newslake.functions.text import moment
 from newslake.plans.request import PAGE, WINDOW, Part, Request
 
 
-def matches(q: Request, title: str = "title") -> Column:
-    """Word mode: some group has all its words among the title's tokens, accents aside. Substring mode: the text itself, case aside."""
+def matches(q: Request, title: str = "title", words: Column | None = None) -> Column:
+    """Word mode: some group has all its words among the title's tokens, accents aside. Substring mode: the text itself, case aside.
+
+    `words` are the title's tokens where they are stored; else they are made.
+    """
     if not q.q:
         return F.lit(True)
     if q.mode == "substring":
         return F.contains(F.lower(title), F.lit(q.q.lower()))
-    have = tokens(fold(F.col(title)))
+    have = tokens(fold(F.col(title))) if words is None else words
     if all(len(g) == 1 for g in q.groups) and len(q.groups) > 1:
         return F.arrays_overlap(have, F.array(*(F.lit(g[0]) for g in q.groups)))
     return reduce(Column.__or__, (reduce(Column.__and__, (F.array_contains(have, w) for w in g)) for g in q.groups))
@@ -30,27 +34,50 @@ def selected(table: DataFrame, q: Request, part: Part | None = None) -> DataFram
     """The rows of a table a request selects, paging aside. Range and site predicates reach the scan."""
     first, last = (part.first, part.last) if part else (q.first, q.last)
     out = table.where((F.col("ts") >= moment(dt.datetime.combine(first, dt.time()))) & (F.col("ts") < moment(dt.datetime.combine(last + dt.timedelta(days=1), dt.time()))))
+    if "month" in table.columns:  # partitions of a stored archive
+        out = out.where(F.col("month").between(f"{first:%Y-%m}", f"{last:%Y-%m}"))
     if q.domains:
         out = out.where(F.col("domain").isin(*q.domains))
     if part and part.unified:
         out = out.where(F.col("src").isin(*q.src))
         if q.both_news:
             out = out.where("copy_news <> 255")
-    return out.where(matches(q))
+    return out.where(matches(q, words=F.col("words") if "words" in table.columns else None))
 
 
 ORDER = ("ts", "domain", "url", "row_id")
 
 
-def in_order(rows: DataFrame, q: Request, limit: int) -> DataFrame:
+def in_order(rows: DataFrame, q: Request, limit: int, skip: int | None = None) -> DataFrame:
     """The first `limit` rows from the cursor in the page's total order, with their place `pos`: a top-k, then a window over k rows."""
     way = [F.col(c).desc() if q.newest else F.col(c).asc() for c in ORDER]
     if q.cursor:
         rows = rows.where(F.col("ts") <= moment(q.cursor) if q.newest else F.col("ts") >= moment(q.cursor))
-    top = rows.orderBy(*way).offset(q.skip).limit(limit) if q.skip else rows.orderBy(*way).limit(limit)
+    skip = q.skip if skip is None else skip
+    top = rows.orderBy(*way).offset(skip).limit(limit) if skip else rows.orderBy(*way).limit(limit)
     return top.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*way)))
 
 
+def mixed(plain: DataFrame, unified: DataFrame, q: Request, limit: int) -> DataFrame:
+    """`in_order` over the parts a request reads: one top-k a part, from the cursor on, then the first `limit` of all.
+
+    Both tables have a `key`; a blog post's is kept apart from any news story's. `src` and `platform` are '' on the plain one.
+    """
+    cols = [*ORDER, "title", "key", "src", "platform"]
+    out = None
+    for part, skip in q.reading():
+        rows = selected(unified if part.unified else plain, q, part)
+        if part.unified:
+            rows = rows.withColumn("key", F.when(F.col("src") == "blogs", F.concat(F.lit("blogs\t"), F.col("key"))).otherwise(F.col("key")))
+        else:
+            rows = rows.withColumn("src", F.lit("")).withColumn("platform", F.lit(""))
+        one = in_order(rows.select(*cols), q, limit, skip)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return plain.limit(0).select(*ORDER, "title", "key", F.lit("").alias("src"), F.lit("").alias("platform"), F.lit(0).alias("pos"))
+    return out if len(q.reading()) == 1 else in_order(out.drop("pos"), q, limit, 0)
+
+
 def collapse(page: DataFrame, want: int = PAGE) -> DataFrame:
     """(story, ts, domain, url, title, n, sites, copies): rows (pos, key, ...) of a page as stories in order of first appearance.
 
@@ -80,20 +107,21 @@ class Page:
     skip: int
 
 
-def page(rows: DataFrame, q: Request, size: int = PAGE, window: int = WINDOW) -> Page:
-    """One page of `rows` (already selected, with `key`) and where the next one begins.
+def page(rows: DataFrame | Callable[[int], DataFrame], q: Request, size: int = PAGE, window: int = WINDOW) -> Page:
+    """One page of `rows` (already selected, with `key`; or a function of the limit, as `mixed` is) and where the next one begins.
 
     `size` rows are read; if they make fewer than half as many stories, `window` rows. A next page exists while rows are
     left over or the read was full: it starts at the last used ts, skipping the rows shown there.
     """
     limit = size
-    top = in_order(rows, q, limit).cache()
+    read = rows if callable(rows) else lambda n: in_order(rows, q, n)
+    top = read(limit).cache()
     got = top.count()
     stories = collapse(top, size).cache()
     if got == size and stories.count() < size / 2:
         top.unpersist()
         limit = window
-        top = in_order(rows, q, limit).cache()
+        top = read(limit).cache()
         got = top.count()
         stories = collapse(top, size).cache()
     used = stories.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

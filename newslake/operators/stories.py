@@ -37,7 +37,7 @@ def with_key(rows: DataFrame, labels: DataFrame, title: str = "title", key: str
 
 
 def with_previous(rows: DataFrame, keys: list[str], out: str, among: DataFrame | None = None) -> DataFrame:
-    """`rows` with the ts of the row before, by (ts, url, row_id), among those of `among` (the same rows) with equal `keys`; null for the first.
+    """`rows` with the ts of the row before, by (ts, url, row_id), among those of `among` (the same rows and perhaps others) with equal `keys`; null for the first.
 
     A window over a key would put a story of any size into one task. Here rows are first combined to one a key and ts, with
     the row that leads it; only those, at most one a batch time, pass through a window. The leader of a ts takes the ts
@@ -66,13 +66,17 @@ def copy_flags(keyed: DataFrame, extra: tuple[str, ...] = (), out: str = "flag",
 
 
 def copy_flags_of_batch(history: DataFrame, batch: DataFrame, days: int = WINDOW_DAYS) -> DataFrame:
-    """The flags of a batch whose rows are not older than the history's: its own rows before, and the history's last `days`.
+    """The flags of a batch: its own rows before, and the history's last `days`.
 
-    Both are keyed. Only the history's keys that the batch has are read on, one last sighting a key and a key and site.
+    Both are keyed. Only the history's keys that the batch has are read on, one last sighting a key and a key and site. Rows
+    of the history that are not older than the batch stand among its rows, so a batch that comes late is flagged right too;
+    what it changes in the flags of such rows is left to a rebuild of their days (`ingest.rebuilt`).
     """
     base = cut(batch.where("ts is not null"))
     first = base.agg(F.min("ts").alias("_t")).first()[0]
-    rows = with_previous(with_previous(base, ["key"], "_a", base), ["key", "domain"], "_s", base)
+    since = history.where(F.col("ts") >= moment(first)).join(base.select("key").distinct(), "key", "left_semi") if first else history.limit(0)
+    among = base.select("ts", "key", "domain", "url", "row_id").unionByName(since.select("ts", "key", "domain", "url", "row_id"))
+    rows = with_previous(with_previous(base, ["key"], "_a", among), ["key", "domain"], "_s", among)
     past = history.where((F.col("ts") >= moment(first) - F.expr(f"INTERVAL '{days}' DAY")) & (F.col("ts") < moment(first))) if first else history.limit(0)
     past = past.join(base.select("key").distinct(), "key", "left_semi")
     any_ = past.groupBy("key").agg(F.max("ts").alias("_pa"))
@@ -81,6 +85,12 @@ def copy_flags_of_batch(history: DataFrame, batch: DataFrame, days: int = WINDOW
     return out.withColumn("flag", flag(F.greatest("_a", "_pa"), F.greatest("_s", "_ps"), days)).drop("_a", "_s", "_pa", "_ps")
 
 
+def backfilled(keyed: DataFrame, start: str, end: str, days: int = WINDOW_DAYS) -> DataFrame:
+    """The flags of the rows from `start` to before `end`, from those and the `days` before: a month is flagged without the rest."""
+    padded = keyed.where((F.col("ts") >= moment(start) - F.expr(f"INTERVAL '{days}' DAY")) & (F.col("ts") < moment(end)))
+    return copy_flags(padded, days=days).where(F.col("ts") >= moment(start))
+
+
 def histogram(flagged: DataFrame, by: Column, name: str) -> DataFrame:
     """Rows of each flag by a period."""
     return flagged.groupBy(by.alias(name)).agg(*(F.count_if(F.col("flag") == k).alias(f"copy{k}") for k in (0, 1, 2)))

@@ -14,6 +14,20 @@ PAGE, WINDOW, MAX_SKIP, MAX_DOMAINS, MAX_SERIES = 100, 1000, 10_000, 10, 6
 MAX_QUERY, MAX_GROUPS, MAX_WORDS = 200, 8, 8
 FIRST_DAY, LAST_DAY, UNIFIED_START = dt.date(2019, 10, 1), dt.date(2100, 1, 1), dt.date(2026, 9, 1)
 SOURCES = ("gdelt", "feeds", "blogs")
+# What the service answers to a wrong request.
+SAYS = {
+    "long": "query too long",
+    "short": "query must be at least two characters",
+    "words": "no words to search for",
+    "many_groups": "at most eight alternatives",
+    "many_words": "at most eight words",
+    "many_sites": f"at most {MAX_DOMAINS} sources",
+    "site": "a source is a site name like bbc.com",
+    "date": "dates are YYYY-MM-DD",
+    "range": "from is after to",
+    "cursor": "before/after is a timestamp like 20260911183000",
+    "src": "src is some of gdelt, feeds, blogs",
+}
 
 
 @dataclass(frozen=True)
@@ -59,6 +73,15 @@ class Request:
         new = [Part(max(self.first, start), self.last, True)] if self.last >= start else []
         return old + new
 
+    def reading(self, start: dt.date = UNIFIED_START) -> list[tuple[Part, int]]:
+        """The parts that a page reads, in its order, with the rows to pass over: those before the cursor's day are left out, its own part has the skip."""
+        day = self.cursor.date() if self.cursor else None
+        parts = self.parts(start)[:: -1 if self.newest else 1]
+        if day is None:
+            return [(p, 0) for p in parts]
+        left = [p for p in parts if (p.first <= day if self.newest else p.last >= day)]
+        return [(p, self.skip if p.first <= day <= p.last else 0) for p in left]
+
     def without_paging(self) -> Request:
         return replace(self, cursor=None, skip=0)
 
@@ -67,50 +90,52 @@ def _day(text: str, default: dt.date) -> dt.date:
     if not text:
         return default
     if not re.fullmatch(r"\d{4}-\d{2}-\d{2}", text):
-        raise ValueError("dates are YYYY-MM-DD")
+        raise ValueError(SAYS["date"])
     try:
         return dt.date.fromisoformat(text)
     except ValueError:
-        raise ValueError("dates are YYYY-MM-DD") from None
+        raise ValueError(SAYS["date"]) from None
 
 
 def _stamp(text: str) -> dt.datetime | None:
     if not text:
         return None
     try:
-        return dt.datetime.strptime(text, "%Y%m%d%H%M%S") if re.fullmatch(r"\d{14}", text) else 1 // 0
-    except (ValueError, ZeroDivisionError):
-        raise ValueError("before/after is a timestamp like 20260911183000") from None
+        if re.fullmatch(r"\d{14}", text):
+            return dt.datetime.strptime(text, "%Y%m%d%H%M%S")
+    except ValueError:
+        pass
+    raise ValueError(SAYS["cursor"])
 
 
 def parse(p: dict[str, str], totals: bool = False) -> Request:
     """A request from its parameters; ValueError says what is wrong with them. `totals` ignores the term."""
     q = "" if totals else p.get("q", "").strip()
     if len(q) > MAX_QUERY:
-        raise ValueError("query too long")
+        raise ValueError(SAYS["long"])
     if len(q) == 1:
-        raise ValueError("query must be at least two characters")
+        raise ValueError(SAYS["short"])
     domains = tuple(sorted({x.strip() for x in p.get("domain", "").lower().split(",")} - {""}))
     if len(domains) > MAX_DOMAINS:
-        raise ValueError(f"at most {MAX_DOMAINS} sources")
+        raise ValueError(SAYS["many_sites"])
     if any(len(x) > 100 or re.search(r"[^a-z0-9.-]", x) for x in domains):
-        raise ValueError("a source is a site name like bbc.com")
+        raise ValueError(SAYS["site"])
     mode = "substring" if p.get("mode") == "substring" else "word"
     raw = re.split(r"(?:(?<=\s)|^)OR(?=\s|$)", q) if mode == "word" else [q]
     groups = tuple(g for g in (tuple(query_words(x)) for x in raw) if g) if q else ()
     if q and mode == "word" and not groups:
-        raise ValueError("no words to search for")
+        raise ValueError(SAYS["words"])
     if len(groups) > MAX_GROUPS:
-        raise ValueError("at most eight alternatives")
+        raise ValueError(SAYS["many_groups"])
     if any(len(g) > MAX_WORDS for g in groups):
-        raise ValueError("at most eight words")
+        raise ValueError(SAYS["many_words"])
     first, last = _day(p.get("from", ""), FIRST_DAY), _day(p.get("to", ""), LAST_DAY)
     if first > last:
-        raise ValueError("from is after to")
+        raise ValueError(SAYS["range"])
     newest = p.get("sort") != "oldest"
     given = [x.strip() for x in (p.get("src") or "gdelt").lower().split(",") if x.strip()]
     if not given or set(given) - set(SOURCES):
-        raise ValueError("src is some of gdelt, feeds, blogs")
+        raise ValueError(SAYS["src"])
     cursor = _stamp(p.get("before" if newest else "after", ""))
     skip = min(max(int(m[0]) if (m := re.match(r"\s*-?\d+", p.get("skip", ""))) else 0, 0), MAX_SKIP) if cursor else 0
     return Request(q, mode, groups, first, last, domains, newest, cursor, skip, tuple(x for x in SOURCES if x in given))

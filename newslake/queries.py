@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslake.functions.text import seconds
 from newslake.operators import history, late, skew
 from newslake.session import cut, table
 
@@ -25,36 +25,34 @@ def p3_source_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.changed_titles(table(spark, d, "collect_headlines"))
+    return history.changed_titles(history.loaded_by_days(table(spark, d, "collect_headlines")))
 
 
 def p4_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The ledger after three loads by day of sighting, the middle days last: what was known, and what was superseded when."""
-    log = cut(history.title_sightings(table(spark, d, "collect_headlines")))
-    day = F.pmod(F.floor(F.col("seen") / 86400), F.lit(3))
-    ledger = history.load(log.where(day == 0), 1)
-    for at, k in ((2, 2), (3, 1)):
-        before = log.where(day == 0) if at == 2 else log.where(day != 1)
-        ledger = cut(history.record(ledger, before, log.where(day == k), at))
-    return history.split_entity(ledger)
+    return history.split_entity(history.loaded_by_days(table(spark, d, "collect_headlines")))
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    a, b = (late.outcomes(late.first_events(table(spark, d, t), t)) for t in ("collect_headlines", "blogs_posts"))
-    return a.unionByName(b)
+    return cut(reduce(DataFrame.unionByName, (late.first_events(table(spark, d, t), t) for t in ("collect_headlines", "blogs_posts"))))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).where("outcome <> 'on_time'").select("tbl", "id", "outcome").distinct()
+    events = _events(spark, d)
+    return late.ruled(events, late.deltas(events)).distinct()
 
 
 def p6_counts(spark: SparkSession, d: str) -> DataFrame:
-    changes = late.deltas(_events(spark, d))
-    return late.apply_deltas(changes.limit(0), changes).select("tbl", "period", "site", "n")
+    """The counts after the deltas of each arrival day up to the middle one, and then the later ones onto that state."""
+    changes = cut(late.deltas(_events(spark, d)))
+    middle = changes.agg(F.median("version")).first()[0]
+    middle = 0 if middle is None else int(middle)
+    state = cut(late.apply_deltas(changes.limit(0), changes.where(F.col("version") <= middle)))
+    return late.apply_deltas(state, changes.where(F.col("version") > middle)).select("tbl", "period", "site", "n")
 
 
 def p6_deltas(spark: SparkSession, d: str) -> DataFrame:
-    return late.deltas(_events(spark, d))
+    return late.deltas(_events(spark, d)).drop("until")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_site_totals, p3_source_totals, p4_found, p4_ledger, p6_found, p6_counts, p6_deltas)}
@@ -98,4 +96,10 @@ select page, kind, valid_from, coalesce(valid_to, 0) as valid_to from (select *,
     "p6_found": f"with {_EVENTS} select tbl, id, outcome from e where outcome <> 'on_time'",
     "p6_counts": f"with {_EVENTS} select tbl, period, site, count(*) as n from e where outcome <> 'dropped' group by all",
     "p6_deltas": f"with {_DELTAS} select tbl, period, site, version, 'retract' as kind, cast(-old as bigint) as n from d where old <> 0 union all select tbl, period, site, version, 'assert', cast(new as bigint) from d",
+    "p4_ledger": f"""with {_SIGHTINGS}, p1 as ({_periods("(select * from s where seen_at // 86400 % 3 = 0)")}), p2 as ({_periods("(select * from s where seen_at // 86400 % 3 <> 1)")}), p3 as ({_periods("s")}),
+a as (select page, kind, value, valid_from, valid_to, bool_or(k = 1) as in1, bool_or(k = 2) as in2, bool_or(k = 3) as in3 from (select *, 1 as k from p1 union all select *, 2 from p2 union all select *, 3 from p3) group by all)
+select page, kind, value, valid_from, valid_to, cast(f as bigint) as recorded_from, cast(t as bigint) as recorded_to from (
+  select *, 1 as f, case when not in2 then 2 when not in3 then 3 end as t from a where in1
+  union all select *, 2, case when not in3 then 3 end from a where in2 and not in1
+  union all select *, 3, null from a where in3 and not in2)""",
 }

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from newslake.functions import fold as folding
 from newslake.operators import archive, collect, ingest, quiet, search, stories
 from newslake.plans import postings, request
+from newslake.sources import feeds
 from newslake.plans.request import parse
 from newslake.session import cut
 from newslake.streaming import jobs
@@ -154,9 +156,10 @@ def test_quiet(spark):
 
 
 def test_collect_expressions(spark):
-    urls = ["HTTPS://A.Example:80/p?utm_source=x&b=1#f", "http://www.b.co.uk", "ftp://x", None, "https://m.example/p/some-long-title-1a2b3c4d5e"]
+    urls = [" https://A.Example:80/p?utm_source=x&b=1%20é*~&c&ref=2&s1=%26&&mc_id=4#f", "http://www.b.co.uk", "ftp://x", None, "https://m.example/p/some-long-title-1a2b3c4d5e"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(collect.canonical_url(F.col("u")).alias("c"), collect.registrable(F.col("u")).alias("s"), collect.slug_title(F.col("u")).alias("t")).collect()
-    assert [x.c for x in got] == ["https://a.example:80/p?b=1", "http://www.b.co.uk/", None, None, "https://m.example/p/some-long-title-1a2b3c4d5e"]
+    assert [x.c for x in got] == ["https://a.example:80/p?b=1+%C3%A9%2A~&c=&s1=%26", "http://www.b.co.uk/", "", "", "https://m.example/p/some-long-title-1a2b3c4d5e"]
+    assert [feeds.canonical(u) for u in urls] == [x.c for x in got]
     assert got[0].s == "a.example" and got[1].s == "b.co.uk" and got[4].t == "some long title"
     assert spark.range(1).select(collect.reactions(F.create_map(F.lit("x"), F.lit(-3).cast("long"))).alias("r")).first().r == 0
     state = spark.createDataFrame([("a", "ok", T0, "x")], "site string, status string, fetched timestamp_ntz, domain string")
@@ -197,16 +200,22 @@ def test_streams(spark, tmp_path):
     jobs.replace_days(days, t)
     one = days.where("day = date'2026-09-05'").limit(1)
     k = one.count()
-    jobs.replace_days(one, t, k)
-    assert spark.read.parquet(t).where("day = date'2026-09-05'").count() == k
+    jobs.replace_days(one, t, ["2026-09-05", "2026-09-06"], k)
+    now = spark.read.parquet(t)
+    assert now.where("day = date'2026-09-05'").count() == k and now.where("day = date'2026-09-06'").count() == 0 and now.where("day = date'2026-09-07'").count() > 0
     with pytest.raises(RuntimeError):
-        jobs.replace_days(one, t, k + 1)
+        jobs.replace_days(one, t, None, k + 1)
+    assert jobs.expire(spark, t, "2026-09-04") and spark.read.parquet(t).agg(F.min("day")).first()[0] >= dt.date(2026, 9, 4)
+    n = spark.read.parquet(t).count()
+    jobs.compact(spark, t, 1)
+    assert spark.read.parquet(t).count() == n and len(spark.read.parquet(t).inputFiles()) == 1
+    assert jobs.new_block(one, 0, str(tmp_path / "b")) and not jobs.new_block(one, 5, str(tmp_path / "b")) and jobs.new_block(days, 6, str(tmp_path / "b"))
 
 
 def test_polling_and_listings(spark):
     board = spark.createDataFrame([(2, "tech", "a", "A", 5), (1, "news", "a", "AA", 7), (3, "tech", "a", None, None), (1, "x", "b", "B", None)], "place int, category string, subdomain string, name string, subscribers int")
     got = {x.subdomain: (x.name, x.subscribers, x.categories) for x in collect.leaderboard(board).collect()}
-    assert got == {"a": ("AA", 7, "news, tech"), "b": ("B", None, "x")}
+    assert got == {"a": ("AA", 7, "news, tech"), "b": ("B", 0, "x")}
     found = spark.createDataFrame([("d", "sitemap", "s1", 3, "ok"), ("d", "sitemap", "s2", 9, "ok"), ("d", "sitemap", "s3", 99, "http 403"), ("d", "feed", "f", 1, "ok"), ("e", "feed", "g", 0, "blocked")], "domain string, kind string, url string, items int, label string")
     assert {x.domain: (x.sitemap, x.feeds, x.blocked) for x in collect.best_sitemaps(found).collect()} == {"d": ("s2", 1, "http 403"), "e": (None, 0, "blocked")}
     day = lambda n: T0 + dt.timedelta(days=n)
@@ -220,5 +229,72 @@ def test_polling_and_listings(spark):
     assert sorted((x.capture, x.title) for x in collect.capture_rows(caps, 2).collect()) == [("c00", "t"), ("c01", "other"), ("c02", "t"), ("c04", "t")]
     log = spark.createDataFrame([("a", "ok", day(0)), ("a", "error", day(5)), ("b", "304", day(5)), ("c", "error", day(5))], "feed string, label string, ts timestamp_ntz")
     assert {x.feed for x in collect.due(log, now, 48).collect()} == {"a", "c"}
-    fetch = spark.createDataFrame([(304, None, 0, None), (200, "t/o", 0, None), (200, None, 9, "Just a moment..."), (404, None, 9, "x"), (200, None, 0, ""), (200, "", 9, " <!DOCTYPE html>"), (200, "", 9, "<rss>")], "http int, error string, size int, head string")
-    assert [x.o for x in fetch.select(collect.classify_fetch(F.col("http"), F.col("error"), F.col("size"), F.coalesce("head", F.lit(""))).alias("o")).collect()] == ["304", "error", "blocked", "http 404", "empty", "html", "ok"]
+    fetch = spark.createDataFrame([(304, None), (0, None), (None, None), (403, "x"), (503, "Just a moment..."), (503, "x"), (404, "Just a moment"), (200, " \n"), (200, None), (200, " <!DOCTYPE html>"), (200, "\ufeff<html>DataDome"), (200, "<rss>captcha, just a moment"), (301, "<rss>")], "http int, body string")
+    want = ["304", "error", "error", "blocked", "blocked", "http 503", "http 404", "empty", "empty", "html", "blocked", "ok", "ok"]
+    assert [x.o for x in fetch.select(collect.classify_fetch(F.col("http"), F.col("body")).alias("o")).collect()] == want
+
+
+def test_collectors_selections(spark):
+    day = lambda n: T0 + dt.timedelta(days=n)
+    pages = spark.createDataFrame([("a", p, day(20 - p), 10) for p in range(6)] + [("b", 0, day(9), 10), ("b", 1, day(5), 10), ("b", 2, day(1), 10), ("c", 0, day(9), 4), ("c", 1, day(8), 10), ("d", 0, None, 0), ("d", 1, day(1), 10)], "site string, page int, oldest timestamp_ntz, posts int")
+    since = spark.createDataFrame([("b", day(6)), ("d", None)], "site string, ts timestamp_ntz")
+    got = sorted((x.site, x.page) for x in collect.pages_to_read(pages, since).collect())
+    assert got == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0), ("b", 1), ("c", 0), ("d", 0)]
+    listed = spark.createDataFrame([(f"f{i}", day(i).date(), f"v{i}") for i in range(12)], "file string, day date, lastmod string")
+    state = spark.createDataFrame([("f9", "v9", "ok"), ("f8", "old", "ok"), ("f7", "v7", "error"), ("f6", "v6", "304")], "file string, lastmod string, status string")
+    assert [x.file for x in collect.files_to_read(listed, state, str(day(10).date()), 5).collect()] == ["f5", "f7", "f8", "f10"]
+    sites = spark.createDataFrame([("a", day(5), "ok", day(1)), ("b", day(9), "http 410", None), ("c", day(7), None, None), ("d", day(-9), "ok", None), ("e", day(8), "ok", None)], "site string, lastmod timestamp_ntz, status string, fetched timestamp_ntz")
+    marks = spark.createDataFrame([("e", True), ("c", False)], "site string, done boolean")
+    assert [x.site for x in collect.walk_queue(sites, marks, F.lit(day(0))).collect()] == ["c", "a"] and [x.site for x in collect.walk_queue(sites, marks, F.lit(day(0)), True).collect()] == ["c"]
+    files_ = spark.createDataFrame([(f"{m}-{d}-{i}", dt.date(2026, m, d)) for m in (8, 9) for d in range(1, 8) for i in range(5)], "file string, day date")
+    one, two = (sorted(x.file for x in collect.sampled_files(files_, 2, 3, 7).collect()) for _ in range(2))
+    assert one == two and len(one) == 12 and one != sorted(x.file for x in collect.sampled_files(files_, 2, 3, 8).collect())
+    names = spark.createDataFrame([("b",), ("a",), ("c",)], "name string")
+    assert [x.name for x in collect.file_queue(names, True, 2).collect()] == ["c", "b"] and [x.name for x in collect.file_queue(names, False).collect()] == ["a", "b", "c"]
+    lost = spark.createDataFrame([("a", 7), ("z", 9)], "site string, was long")
+    assert {x.site: x.n for x in collect.lost_outlets(spark.createDataFrame([("a", 2)], "site string, n long"), lost).collect()} == {"a": 2, "z": None}
+
+
+def test_mixed_pages_show_every_row_once(spark):
+    plain = headlines(spark, 150, 3, 40).withColumn("ts", F.col("ts") - F.expr("INTERVAL 20 DAY")).withColumn("key", F.col("title"))
+    uni = plain.where("ts >= '2026-09-01'").select("*", F.when(F.col("row_id") % 3 == 0, "blogs").when(F.col("row_id") % 3 == 1, "feeds").otherwise("gdelt").alias("src"), F.lit("").alias("platform"), F.lit(0).alias("copy_news"))
+    for sort in ("newest", "oldest"):
+        q = parse({"q": "", "src": "gdelt,feeds,blogs", "sort": sort})
+        want = [(x.row_id, x.key) for x in search.mixed(plain, uni, q, 1000).orderBy("pos").collect()]
+        assert len(want) == 150 and any(k.startswith("blogs\t") for _, k in want)
+        shown, at = [], q
+        while True:
+            one = search.page(lambda n, at=at: search.mixed(plain, uni, at, n), at, 20, 60)
+            shown += [x.row_id for x in search.mixed(plain, uni, at, one.used).orderBy("pos").collect()] if one.used else []
+            if one.cursor is None:
+                break
+            at = replace(at, cursor=one.cursor, skip=one.skip)
+        assert shown == [i for i, _ in want]
+    late = parse({"q": "", "src": "feeds", "before": "20260820000000", "skip": "3"})
+    assert late.reading() == [] and search.mixed(plain, uni, late, 5).count() == 0
+    first = parse({"src": "gdelt,feeds", "before": "20260901000000", "skip": "3"}).reading()
+    assert [(p.unified, k) for p, k in first] == [(True, 3), (False, 0)]
+
+
+def test_rebuilt_days_and_self_check(spark):
+    g = stories.copy_flags(stories.with_key(headlines(spark, 160), headlines(spark).limit(0).select("domain", F.col("title").alias("tail"))))
+    staged = headlines(spark, 80, 9).withColumn("row_id", F.col("row_id") + 1000).withColumn("src", F.when(F.col("row_id") % 2 == 0, "feeds").otherwise("blogs")).withColumn("platform", F.lit("p")).withColumn("key", F.col("title"))
+    u = ingest.unified(g, staged).cache()
+    days = spark.createDataFrame([(dt.date(2026, 9, d),) for d in (9, 10, 15)], "day date")
+    wrong = u.withColumn("copy_news", F.when(F.to_date("ts").isin(dt.date(2026, 9, 9), dt.date(2026, 9, 15)), 0).otherwise(F.col("copy_news")))
+    got = {(x.src, x.row_id, x.copy, x.copy_news) for x in ingest.rebuilt(g, staged, wrong, days).collect()}
+    assert got == {(x.src, x.row_id, x.copy, x.copy_news) for x in u.join(days, F.to_date("ts") == F.col("day")).collect()} and got
+    ok = ingest.self_check(u, "2026-09-01", "2026-09-05").first()
+    assert ok.rows > 50 and (ok.own_differ, ok.blogs_differ, ok.news_differ) == (0, 0, 0)
+    bad = ingest.self_check(u.withColumn("copy", F.lit(1)), "2026-09-01", "2026-09-05").first()
+    assert bad.own_differ > 0 and bad.early_differ > 0
+
+
+def test_late_batch_is_flagged_among_its_history(spark):
+    rows = headlines(spark, 200).withColumn("key", F.col("title")).cache()
+    late = rows.where("row_id % 5 = 0")
+    want = {x.row_id: x.flag for x in stories.copy_flags(rows).collect()}
+    got = {x.row_id: x.flag for x in stories.copy_flags_of_batch(rows.where("row_id % 5 <> 0"), late).collect()}
+    assert got == {k: want[k] for k in got} and len(got) == 40
+    part = {x.row_id: x.flag for x in stories.backfilled(rows, "2026-09-10 00:00:00", "2026-09-14 00:00:00").collect()}
+    assert part == {k: want[k] for k in part} and part

@@ -77,9 +77,9 @@ def test_title_periods(spark):
     ]
     df = spark.createDataFrame(rows, "row_id long, url string, title string, seen timestamp_ntz, kind string, page int")
     e = int((T0 - dt.datetime(1970, 1, 1)).total_seconds())
-    got = sorted(map(tuple, history.changed_titles(df).collect()))
+    got = sorted(map(tuple, history.changed_titles(history.loaded_by_days(df)).collect()))
     assert got == [("a.example/x", "feed", e + 60, e + 300), ("a.example/x", "feed", e + 300, e + 420), ("a.example/x", "feed", e + 420, 0)]
-    assert history.changed_titles(df.limit(0)).count() == 0
+    assert history.changed_titles(history.loaded_by_days(df.limit(0))).count() == 0
 
 
 def test_site_totals(spark):
@@ -106,12 +106,14 @@ def test_late_events(spark):
         (10, d(1), None, "a.example/9", "feed", "a.example"), (11, d(1), d(25), None, None, None),
     ]
     df = spark.createDataFrame(rows, "row_id long, ts timestamp_ntz, seen timestamp_ntz, url string, kind string, domain string").withColumn("period", F.lit("clash"))
-    out = late.outcomes(late.first_events(df, "t"))
-    got = {x.id: x.outcome for x in out.collect()}
-    assert got == {1: "on_time", 2: "corrects", 3: "dropped", 4: "corrects", 5: "on_time", 6: "on_time", 7: "on_time", 9: "corrects", 11: "corrects"}
-    changes = late.deltas(out)
+    events = late.first_events(df, "t")
+    changes = late.deltas(events)
+    got = {x.id: x.outcome for x in late.ruled(events, changes).collect()}
+    assert got == {2: "corrects", 3: "dropped", 4: "corrects", 9: "corrects", 11: "corrects"}
+    assert {x.id for x in late.ruled(events, late.deltas(events, 30)).where("outcome = 'corrects'").collect()} == {2, 9, 11}
+    assert late.ruled(events.limit(0), late.deltas(events.limit(0))).count() == 0
     final = {(x.site, x.period): x.n for x in changes.groupBy("site", "period").agg(F.sum("n").alias("n")).collect()}
-    want = Counter((x.site, x.period) for x in out.collect() if x.outcome != "dropped")
+    want = Counter((x.site, x.period) for x in events.collect() if got.get(x.id) != "dropped")
     assert final == dict(want)
     empty = late.apply_deltas(changes.limit(0), changes)
     v = changes.agg(F.min("version")).first()[0]
