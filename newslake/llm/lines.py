@@ -7,6 +7,8 @@ holding a crossed line are rebuilt. A line is its letters in order, so counts se
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,9 +122,9 @@ def cleaned_titles(headlines: DataFrame, found: DataFrame) -> DataFrame:
     return all_.select("tbl", "id", text.alias("text"))
 
 
-def rebuild(rows: DataFrame, crossed: DataFrame, found: DataFrame, joiner: str = "\n") -> DataFrame:
-    """`cleaned` for only those rows that hold a line of `crossings`."""
-    return cleaned(touched(rows, crossed).where("touched"), found, joiner)
+def rebuild(rows: DataFrame, crossed: DataFrame, found: DataFrame, make: Callable[[DataFrame, DataFrame], DataFrame] = cleaned) -> DataFrame:
+    """`make` (rows, found) for only those rows that hold a line of `crossings`."""
+    return make(touched(rows, crossed).where("touched"), found)
 
 
 def touched(rows: DataFrame, crossed: DataFrame) -> DataFrame:
@@ -131,24 +133,32 @@ def touched(rows: DataFrame, crossed: DataFrame) -> DataFrame:
     return with_found(rows, crossed).withColumn("touched", F.coalesce(held, F.lit(False))).drop("_found")
 
 
-def cleaned_by_deltas(parts: list[DataFrame], joiner: str = "\n") -> DataFrame:
-    """`cleaned` of all partitions, taken in one after the other: each one's counts are merged as a delta, rows before it that hold a crossed line are rebuilt."""
+def by_deltas(parts: list[DataFrame], make: Callable[[DataFrame, DataFrame], DataFrame] = cleaned) -> DataFrame:
+    """`make` of all partitions, taken in one after the other: each one's counts are merged as a delta, rows before it that hold a crossed line are rebuilt.
+
+    What isn't touched has the result it had, as no line of it has another verdict; it is made from the lines found before.
+    """
     counts = cut(count_lines(parts[0]))
     found = cut(repeated(counts))
-    out, rows = cleaned(parts[0], found, joiner), parts[0]
+    out, rows = make(parts[0], found), parts[0]
     for k, part in enumerate(parts[1:], 2):
         counts = merge_counts(counts, count_lines(part))
         counts = cut(counts) if k < len(parts) else counts  # the last state is read once
         now = cut(repeated(counts))
         crossed = cut(crossings(found, now))
         same = touched(rows, crossed).where("not touched").drop("touched")
-        # What isn't touched has the text it had: no line of it has another verdict.
-        out = cleaned(same, found, joiner).unionByName(rebuild(rows, crossed, now, joiner)).unionByName(cleaned(part, now, joiner))
+        out = make(same, found).unionByName(rebuild(rows, crossed, now, make)).unionByName(make(part, now))
         rows, found = rows.unionByName(part), now
     return out
 
 
+def halves(rows: DataFrame) -> list[DataFrame]:
+    """Two partitions of rows by their ids, where the data has no better ones."""
+    half = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(2)), F.lit(0))
+    return [rows.where(half == k) for k in (0, 1)]
+
+
 def repeated_places(documents: DataFrame, headlines: DataFrame) -> DataFrame:
-    """(tbl, id, pos) over both tables, each state built from one delta."""
+    """(tbl, id, pos) over both tables, taken in as two partitions."""
     rows = document_rows(documents).unionByName(title_rows(headlines))
-    return found_places(rows, repeated(cut(count_lines(rows)))).distinct()
+    return by_deltas(halves(rows), found_places).distinct()
