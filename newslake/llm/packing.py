@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslake.llm.tokens import TOKENIZER, count_tokens
+from newslake.session import partitions
 
 CAPACITY = 2048
 SEGMENTS = 64
@@ -82,7 +83,8 @@ def containers(documents: DataFrame, capacity: int = CAPACITY, segments: int = S
         return out[["container", "place", "doc_id", "piece", "first_token", "tokens", "loss"]].astype("int64")
 
     sharded = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-    return sharded.groupBy("shard").applyInPandas(run, "container bigint, place bigint, doc_id bigint, piece bigint, first_token bigint, tokens bigint, loss bigint")
+    spread = sharded.repartition(min(shards, partitions(documents.sparkSession)), "shard")  # a width asked for isn't coalesced: packing costs more than its bytes tell
+    return spread.groupBy("shard").applyInPandas(run, "container bigint, place bigint, doc_id bigint, piece bigint, first_token bigint, tokens bigint, loss bigint")
 
 
 def fill(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
