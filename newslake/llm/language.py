@@ -41,6 +41,8 @@ SURE = 0.2
 COMMON_SHARE = 0.0003
 #: Characters classified at a time, about; bounds a worker's memory.
 SLICE = 400_000
+#: A segment of a script of one language is of another one if it needs this many times the phrases that 99 % of held-out text needs.
+REJECT = 1.4
 _PHRASE = 1 << 30
 
 # ISO 639-1 codes with their ISO 639-2/3 codes and English names.
@@ -52,13 +54,19 @@ ms msa may malay; nl nld dut dutch; no nor norwegian; pl pol polish; pt por port
 sl slv slovenian; sr srp serbian; sv swe swedish; ta tam tamil; te tel telugu; th tha thai; tr tur turkish; uk ukr ukrainian; ur urd urdu;
 vi vie vietnamese; zh zho chi chinese
 """
+#: Tags that tell no language.
+UNTOLD = ("und", "mul", "mis", "zxx", "unk", "nan")
 _NAMES = {name: names[0] for names in (x.split() for x in CODES.split(";")) for name in names}
 
 
 def iso(lang: Column) -> Column:
-    """The ISO 639-1 code of a language in any usual notation (`en-GB`, `eng`, `English`, `EN_us`); null for missing or unknown."""
+    """The ISO 639-1 code of a language in any usual notation (`en-GB`, `eng`, `English`, `EN_us`); null for a missing one.
+
+    The table only brings notations together: a tag of two or three letters that it lacks is a language of its own.
+    """
     first = F.element_at(F.split(F.lower(F.trim(lang)), r"[-_]"), 1)
-    return F.create_map(*(F.lit(x) for pair in _NAMES.items() for x in pair))[first]
+    known = F.create_map(*(F.lit(x) for pair in _NAMES.items() for x in pair))[first]
+    return F.coalesce(known, F.when(first.rlike("^[a-z]{2,3}$") & ~first.isin(*UNTOLD), first))
 
 
 @lru_cache(maxsize=1)
@@ -245,10 +253,11 @@ def phrases(tables: _Flat, seg: Segments, rows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """By script: its languages and their stacked automata; a script of one language needs none."""
+    """By script: its languages and their stacked automata; for a script of one language also the most phrases a symbol that are still of it."""
 
     langs: dict[int, list[str]]
     tables: dict[int, _Flat] = field(default_factory=dict)
+    limits: dict[int, float] = field(default_factory=dict)
 
     def classify(self, seg: Segments) -> tuple[np.ndarray, np.ndarray]:
         """The language ('' unless there is one for the script) and confidence of each segment."""
@@ -258,10 +267,15 @@ class Model:
             rows = np.flatnonzero(seg.script == script)
             if not len(rows):
                 continue
-            if len(names) == 1:
+            if len(names) == 1 and script not in self.tables:
                 lang[rows], sure[rows] = names[0], 1.0
                 continue
             c = phrases(self.tables[script], seg, rows)
+            if len(names) == 1:  # another language of the script, one without labels, needs more phrases
+                rate = c[:, 0] / np.maximum(seg.length[rows], 1) / self.limits[script]
+                lang[rows] = np.where((rate > 1) & (seg.n[rows] >= LEAST_LATIN), "", names[0])
+                sure[rows] = np.where(seg.n[rows] >= LEAST_LATIN, np.clip(2 - 2 * rate, 0.25, 1.0), 1.0)
+                continue
             two = np.argpartition(c, 1, axis=1)[:, :2]
             best = c.argmin(1)
             low = np.take_along_axis(c, two, 1)
@@ -303,6 +317,7 @@ def fit(labelled: list[tuple[str, str]], budget: int = FIT_SYMBOLS) -> Model:
             continue
         out.langs[script] = names
         if len(names) == 1:
+            _with_limit(out, seg, script, per[names[0]], budget)
             continue
         kept = per
         for _ in range(2):
@@ -314,6 +329,18 @@ def fit(labelled: list[tuple[str, str]], budget: int = FIT_SYMBOLS) -> Model:
     return out
 
 
+def _with_limit(out: Model, seg: Segments, script: int, rows: list[int], budget: int) -> None:
+    """A script of one language: its automaton, and a limit from held-out segments of it, REJECT times the rate that 99 % of them keep to."""
+    long_ = [i for i in rows if seg.n[i] >= LEAST_LATIN]
+    held = np.array([i for i in long_ if seg.text[i] % 2], np.int64)
+    rest = [i for i in rows if seg.text[i] % 2 == 0]
+    if len(held) < 20 or not rest:
+        return
+    tables = _Flat([_built(seg, rest, budget)])
+    rate = phrases(tables, seg, held)[:, 0] / np.maximum(seg.length[held], 1)
+    out.tables[script], out.limits[script] = tables, REJECT * float(np.quantile(rate, 0.99))
+
+
 def _agreeing(seg: Segments, per: dict[str, list[int]], fit_on: dict[str, list[int]], names: list[str], size: int) -> dict[str, list[int]]:
     """Of each language's segments those that need clearly fewer phrases in it than in any other, each half judged by the other."""
     out: dict[str, list[int]] = {x: [] for x in per}
