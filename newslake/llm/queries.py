@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from newslake.llm import batches, copies, language, lines, mixing, packing, sentences
 from newslake.session import table
 
@@ -36,9 +34,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    rows = lines.document_rows(table(spark, d, "documents"))
-    half = F.coalesce(F.pmod(F.xxhash64("id"), F.lit(2)), F.lit(0))
-    return lines.cleaned_by_deltas([rows.where(half == k) for k in (0, 1)])
+    return lines.by_deltas(lines.halves(lines.document_rows(table(spark, d, "documents"))))
 
 
 def p5_cleaned_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -54,20 +50,31 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.containers(table(spark, d, "documents"))
 
 
+def p8_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """Containers where all three limits bind: at most 1,024 loss-bearing tokens and 12 documents."""
+    return packing.containers(table(spark, d, "documents"), segments=12, loss_limit=1024)
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
+def p9_sized(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a mixture of a given size, 250 tokens a document of the table: small sources are repeated up to their caps and miss their shares."""
+    documents = table(spark, d, "documents")
+    return mixing.mixture(documents, table(spark, d, "mix_targets"), total=250 * documents.count())[1]
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentences(table(spark, d, "documents")).distinct()
+    return sentences.sentences(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_collapsed, p5_found, p5_cleaned, p5_cleaned_titles, p7_found, p8_containers, p9_mixture, p9_shares, p10_found)
+    f.__name__: f for f in (p1_found, p1_stretches, p2_found, p2_collapsed, p5_found, p5_cleaned, p5_cleaned_titles, p7_found, p8_containers, p8_instructions, p9_mixture, p9_shares, p9_sized, p10_found)
 }
 
 _SITE = "regexp_replace(lower(trim(domain)), '^www\\.|\\.$', '', 'g')"

@@ -95,7 +95,7 @@ def test_cleaned_query_takes_deltas(spark, tmp_path, monkeypatch):
     got = {x.id: x.text for x in queries.p5_cleaned(spark, str(tmp_path)).collect()}
     rows = lines.document_rows(spark.createDataFrame(data, "doc_id long, text string, source string"))
     assert merged and got == {x.id: x.text for x in lines.cleaned(rows, lines.repeated(lines.count_lines(rows))).collect()}
-    assert got == {x.id: x.text for x in lines.cleaned_by_deltas([rows.where(f"id % 3 = {k}") for k in range(3)]).collect()}
+    assert got == {x.id: x.text for x in lines.by_deltas([rows.where(f"id % 3 = {k}") for k in range(3)]).collect()}
 
 
 def test_title_pieces(spark):
@@ -202,6 +202,14 @@ def test_packing_round_trip(spark):
     assert packing.containers(df.limit(0)).count() == 0
 
 
+def test_instruction_limits_bind(spark):
+    r = random.Random(5)
+    docs = [(i, "Ask me\n" + "word " * r.choice([3, 3, 40, 300, 700]), "en", "s") for i in range(300)]
+    got = packing.containers(spark.createDataFrame(docs, DOCS), segments=12, loss_limit=1024).toPandas().groupby("container").agg({"tokens": "sum", "loss": "sum", "doc_id": "count"})
+    assert got.tokens.max() <= 2048 and got.loss.max() <= 1024 and got.doc_id.max() <= 12
+    assert (got.loss > 1000).any() and (got.doc_id == 12).any()
+
+
 def test_pack_fills(spark):
     r = np.random.default_rng(0)
     t = r.integers(1, 1500, 2000)
