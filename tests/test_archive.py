@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import zlib
 from dataclasses import replace
 
 import pytest
@@ -298,3 +299,10 @@ def test_late_batch_is_flagged_among_its_history(spark):
     assert got == {k: want[k] for k in got} and len(got) == 40
     part = {x.row_id: x.flag for x in stories.backfilled(rows, "2026-09-10 00:00:00", "2026-09-14 00:00:00").collect()}
     assert part == {k: want[k] for k in part} and part
+
+
+def test_poll_interval(spark):
+    gaps = {"a": 1.0, "b.example": 10.0, "ü": 900.0, "": 20.0}
+    got = {x.site: x.hours for x in collect.poll_interval(spark.createDataFrame(list(gaps.items()), "site string, gap_hours double")).collect()}
+    want = {k: max(min(g * 0.5, 24), 3) * (0.8 + 0.4 * (zlib.crc32(k.encode()) % 1000 / 1000)) for k, g in gaps.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
