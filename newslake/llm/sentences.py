@@ -15,19 +15,20 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping, Set
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslake.session import cut
 
-#: Words seen fewer times than this, or in less than this share of all words, are known by their shape only. At most 1 / share words are above.
+#: Words seen fewer times than this are known by their shape only, whatever the size of the table.
 LEAST_SEEN = 3
-LEAST_SHARE = 2e-7
 #: Up to this share of a word's appearances, what it is seen as is taken for an accident, whatever the size of the table.
 ABSENT = 0.01
 #: Distinct events that a task holds, about.
@@ -164,16 +165,68 @@ def gaps(line: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+class Words(Mapping):
+    """Words and their values in two sorted blocks: some twenty bytes a word, so that all words of a large table can be held."""
+
+    def __init__(self, words: pa.ChunkedArray, values: np.ndarray) -> None:
+        words = words.cast(pa.large_binary()).combine_chunks()
+        order = pc.array_sort_indices(words)
+        words, self.values = words.take(order), values[order.to_numpy()]
+        text = words.buffers()[2]
+        self.text = text.to_pybytes() if text else b""
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy())])
+        self.ends = ends.astype(np.uint32 if len(self.text) < 2**32 else np.int64)
+        self.memo: dict[str, float | None] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": {}}
+
+    def get(self, word: str, default: float | None = None) -> float | None:
+        if word in self.memo:
+            v = self.memo[word]
+        else:
+            if len(self.memo) > MOST_HELD:
+                self.memo.clear()
+            v = self.memo[word] = self._find(word.encode())
+        return default if v is None else v
+
+    def _find(self, key: bytes) -> float | None:
+        ends, text, low, high = self.ends, self.text, 0, len(self.ends) - 1
+        while low < high:
+            i = (low + high) // 2
+            if text[ends[i] : ends[i + 1]] < key:
+                low = i + 1
+            else:
+                high = i
+        return float(self.values[low]) if low < len(self) and text[ends[low] : ends[low + 1]] == key else None
+
+    def __getitem__(self, word: str) -> float:
+        v = self.get(word)
+        if v is None:
+            raise KeyError(word)
+        return v
+
+    def __contains__(self, word: object) -> bool:
+        return self.get(word) is not None
+
+    def __iter__(self) -> Iterator[str]:
+        return (self.text[self.ends[i] : self.ends[i + 1]].decode() for i in range(len(self)))
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+
 @dataclass
 class HiddenEvents:
     """The model: log-odds of a boundary by word before and by word after, each with its shape's value to fall back on."""
 
-    left: dict[str, float] = field(default_factory=dict)
+    left: Mapping[str, float] = field(default_factory=dict)
     left_shape: dict[str, float] = field(default_factory=dict)
-    right: dict[str, float] = field(default_factory=dict)
-    right_any: dict[str, float] = field(default_factory=dict)
+    right: Mapping[str, float] = field(default_factory=dict)
+    right_any: Mapping[str, float] = field(default_factory=dict)
     right_shape: dict[str, float] = field(default_factory=dict)
-    starts: set[str] = field(default_factory=set)  # words that begin lines
+    starts: Set[str] = field(default_factory=set)  # words that begin lines
+    sums: tuple[float, float, float, float] = (1, 1, 1, 1)  # words that begin lines, those that don't; the same without case
     again: float = -1.5  # a boundary one word after a boundary
 
     def after(self, left: str, key: str, shape: str) -> float:
@@ -344,7 +397,10 @@ def fit(texts: list[str], least: int = LEAST_SEEN) -> HiddenEvents:
         if x is not None and s + m <= RARE:
             shapes[x][2] += s
             shapes[x][3] += m
-    out = right_model([(x, *v) for x, v in shapes.items()], table, [(k, *v) for k, v in anys.items()], (sum(v[0] for v in anys.values()), sum(v[1] for v in anys.values())), least)
+    out = right_model([(x, *v) for x, v in shapes.items()], (sum(v[0] for v in anys.values()), sum(v[1] for v in anys.values())))
+    out.starts = {k for k, s, m, *_ in table if begins(s, m)}
+    out.right = {k: v for k, s, m, _, t, y in table if (v := right_value(out, s, m, t, y, least)) is not None}
+    out.right_any = {k: any_value(out, s, m) for k, (s, m) in anys.items() if s + m >= least}
     left: dict[str, list] = defaultdict(lambda: [0.0, 0.0, 0, Counter()])
     left_shape: dict[str, list] = defaultdict(lambda: [0.0, 0.0, 0])
     for (kind, a, s, k, ks, dot), c in n.items():
@@ -356,57 +412,67 @@ def fit(texts: list[str], least: int = LEAST_SEEN) -> HiddenEvents:
             left[a][2] += c
             left[a][3][s] += c * (kind == "gap")
             left_shape[s][2] += c * (kind == "gap")
-    return left_model(out, [(x, *v) for x, v in left_shape.items()], [(k, y, z, c, most(x)) for k, (y, z, c, x) in left.items()], least)
+    left_model(out, [(x, *v) for x, v in left_shape.items()])
+    out.left = {k: left_value(out, y, z, ls) for k, (y, z, c, x) in left.items() if (ls := most(x)) is not None and c >= least}
+    return out
 
 
-def right_model(shapes: list[tuple], words: list[tuple], anys: list[tuple], all_: tuple[float, float], least: float) -> HiddenEvents:
-    """What words after a gap say.
+def right_model(shapes: list[tuple], all_: tuple[float, float]) -> HiddenEvents:
+    """What the shapes of words after a gap say.
 
-    shapes: (shape, starts, mids, of its rare words: starts, mids); words: (word, starts, mids, shape there, gaps before it,
-    shape there); anys: (word without case, starts, mids), `all_` their sums. `words` and `anys` may leave out what is seen under `least` times.
+    shapes: (shape, starts, mids, of its rare words: starts, mids); `all_`: the sums of starts and mids without case.
     """
-    out = HiddenEvents()
     n_start, n_mid = sum(x[1] for x in shapes) + 1, sum(x[2] for x in shapes) + 1
+    out = HiddenEvents(sums=(n_start, n_mid, all_[0] + 1, all_[1] + 1))
     known = sum(1 for x in shapes if x[1] + x[2])
     share = lambda x, n: (x + 0.5) / (n + 0.5 * known)
     # A shape stands in for words the counts hardly know, so it is judged by its rare words, where names are.
     for shape, s, m, rare_s, rare_m in shapes:
         b, n = (rare_s, rare_m) if rare_s + rare_m >= 20 else (s, m)
         out.right_shape[shape] = -1.0 if shape[-1:] == "o" else _clip(math.log(share(b, n_start) / share(n, n_mid)))
-    for k, s, m, _, total, rs in words:
-        if s >= 2 and s >= ABSENT * (s + m):
-            out.starts.add(k)
-        never = s + m <= ABSENT * total
-        if not total or s + m < least and not (rs.endswith(("C.", "I")) and total >= least) and not (rs.endswith("C") and never and total > 1):
-            continue
-        base = out.right_shape.get(rs, 0.0)
-        v = math.log((s / n_start + math.exp(base) / n_mid) / (m / n_mid + 1 / n_mid))
-        if never and rs.endswith("C"):  # after end marks again and again, never amid a sentence
-            v = 1.5 if total >= OFTEN else 0.0
-        if rs.endswith(("C.", "I")) and s <= ABSENT * total:  # an abbreviation that never begins a line begins no sentence
-            v = min(v, -2.0)
-        out.right[k] = _clip(v)
-    n_s, n_m = all_[0] + 1, all_[1] + 1
-    for k, s, m in anys:
-        if s + m >= least:
-            out.right_any[k] = max(-1.5, min(1.5, math.log((s / n_s + 2 / n_m) / (m / n_m + 2 / n_m))))
     return out
 
 
-def left_model(out: HiddenEvents, shapes: list[tuple], words: list[tuple], least: float) -> HiddenEvents:
-    """`out` with what words before a gap say: line ends, and the gaps within lines by what the word after them says.
+def begins(s: float, m: float) -> bool:
+    """Whether a word of so many starts and mids is one that begins lines."""
+    return s >= 2 and s >= ABSENT * (s + m)
+
+
+def right_value(out: HiddenEvents, s: float, m: float, total: float, rs: str | None, least: float) -> float | None:
+    """What a word after a gap says: its starts and mids, the gaps before it and its shape there. None: no more than its shape."""
+    never = s + m <= ABSENT * total
+    if not total or s + m < least and not (rs.endswith(("C.", "I")) and total >= least) and not (rs.endswith("C") and never and total > 1):
+        return None
+    n_start, n_mid = out.sums[:2]
+    base = out.right_shape.get(rs, 0.0)
+    v = math.log((s / n_start + math.exp(base) / n_mid) / (m / n_mid + 1 / n_mid))
+    if never and rs.endswith("C"):  # after end marks again and again, never amid a sentence
+        v = 1.5 if total >= OFTEN else 0.0
+    if rs.endswith(("C.", "I")) and s <= ABSENT * total:  # an abbreviation that never begins a line begins no sentence
+        v = min(v, -2.0)
+    return _clip(v)
+
 
-    shapes: (shape, boundaries, others, gaps after it); words: (word, boundaries, others, both, shape before gaps, null if never there).
+def any_value(out: HiddenEvents, s: float, m: float) -> float:
+    """What a word after a gap says where case says nothing."""
+    n_s, n_m = out.sums[2:]
+    return max(-1.5, min(1.5, math.log((s / n_s + 2 / n_m) / (m / n_m + 2 / n_m))))
+
+
+def left_model(out: HiddenEvents, shapes: list[tuple]) -> None:
+    """What the shapes of words before a gap say: line ends, and the gaps within lines by what the word after them says.
+
+    shapes: (shape, boundaries, others, gaps after it).
     """
     for s, b, n, gap in shapes:
         if gap:
             out.left_shape[s] = _logit((b + 0.5) / (b + n + 1))
-    for k, b, n, c, ls in words:
-        if ls is None or c < least:
-            continue
-        base = 1 / (1 + math.exp(-out.left_shape[ls]))
-        out.left[k] = _logit((b + 3 * base) / (b + n + 3)) + 0.3 * min(0.0, out.left_shape[ls])
-    return out
+
+
+def left_value(out: HiddenEvents, b: float, n: float, ls: str) -> float:
+    """What a word before a gap says: its boundaries and others, and its shape there."""
+    base = 1 / (1 + math.exp(-out.left_shape[ls]))
+    return _logit((b + 3 * base) / (b + n + 3)) + 0.3 * min(0.0, out.left_shape[ls])
 
 
 def _clip(x: float) -> float:
@@ -414,7 +480,10 @@ def _clip(x: float) -> float:
 
 
 def fit_model(documents: DataFrame, least: int = LEAST_SEEN) -> HiddenEvents:
-    """The model of all documents: `fit` as aggregations; only sums by shape and words above the floor come to the driver."""
+    """The model of all documents: `fit` as aggregations, under the same floors at any size.
+
+    Sums by shape come to the driver, and of words above the floor their values, computed in tasks.
+    """
     rows = documents.where("text is not null and text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     key = F.translate(F.lower(F.trim("line")), _FIGURES, "")
     lines = rows.groupBy(F.xxhash64(key).alias("h"), F.length(key).alias("l")).agg(F.min(F.struct("id", "pos", "line"))["line"].alias("line")).select("line")
@@ -443,9 +512,10 @@ def fit_model(documents: DataFrame, least: int = LEAST_SEEN) -> HiddenEvents:
     anys = t.where("kind in ('start_any', 'mid_any')").groupBy("a").agg(of("start_any").alias("start"), of("mid_any").alias("mid"))
     all_ = anys.agg(F.sum("start").alias("start"), F.sum("mid").alias("mid")).first()
     all_ = (all_.start or 0, all_.mid or 0)
-    floor = max(least, LEAST_SHARE * sum(all_))
-    known = words.where((F.col("start") + F.col("mid") + F.col("gap") >= floor) | ((F.lit(floor) <= least) & (F.col("start") + F.col("gap") >= 2)))
-    out = right_model([(s, *v) for s, v in shapes.items()], [tuple(r) for r in known.collect()], [tuple(r) for r in anys.where(F.col("start") + F.col("mid") >= floor).collect()], all_, floor)
+    out, small = (right_model([(x, *v) for x, v in shapes.items()], all_) for _ in range(2))
+    out.starts = _values(words.where("start >= 2").select("w", "start", "mid"), lambda s, m: 1.0 if begins(s, m) else None).keys()
+    out.right = _values(words.where("gap > 0").select("w", "start", "mid", "gap", "gap_shape"), lambda *x: right_value(small, *x, least))
+    out.right_any = _values(anys.where(F.col("start") + F.col("mid") >= least).select("a", "start", "mid"), lambda s, m: any_value(small, s, m))
     right = documents.sparkSession.sparkContext.broadcast(out)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,8 +529,24 @@ def fit_model(documents: DataFrame, least: int = LEAST_SEEN) -> HiddenEvents:
 
     judged = t.where("kind in ('end', 'gap')").mapInArrow(judge, "w string, s string, yes double, no double, n long, gap long")
     both = cut(judged.groupBy("w", "s").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("n").alias("n"), F.sum("gap").alias("gap")))
-    left = both.groupBy("w").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("n").alias("n"), most(F.col("gap"), F.col("s")).alias("shape")).where(F.col("shape").isNotNull() & (F.col("n") >= floor))
-    return left_model(out, [tuple(r) for r in both.groupBy("s").agg(F.sum("yes"), F.sum("no"), F.sum("gap")).collect()], [tuple(r) for r in left.collect()], floor)
+    left = both.groupBy("w").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("n").alias("n"), most(F.col("gap"), F.col("s")).alias("shape")).where(F.col("shape").isNotNull() & (F.col("n") >= least))
+    left_model(small, [tuple(r) for r in both.groupBy("s").agg(F.sum("yes"), F.sum("no"), F.sum("gap")).collect()])
+    out.left_shape = small.left_shape
+    out.left = _values(left.select("w", "yes", "no", "shape"), lambda y, z, ls: left_value(small, y, z, ls))
+    return out
+
+
+def _values(rows: DataFrame, value: Callable[..., float | None]) -> Words:
+    """The words of `rows`, its first column, that `value` gives a value by their other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w, *cols = (c.to_pylist() for c in b.columns)
+            got = [(x, v) for x, v in zip(w, map(value, *cols)) if v is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([v for _, v in got], pa.float64())], names=["w", "v"])
+
+    t = rows.mapInArrow(run, "w string, v double").toArrow()
+    return Words(t.column(0), t.column(1).to_numpy())
 
 
 def _batch(n: Counter, fields: list[str]) -> pa.RecordBatch:

@@ -1,11 +1,13 @@
 """The llm operators against brute force or exact round trips, with nulls, repeats, ties, hot groups and empty tables."""
 
 import datetime as dt
+import pickle
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,6 +366,25 @@ def test_sentence_counts_are_of_all_documents(spark):
     assert got.starts == want.starts and sentences.fit_model(docs.limit(0)).right == {}
 
 
+def test_sentence_words_are_known_at_any_size(spark):
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(["\n".join(" ".join(x) for x in t) for t in corpus(4, 40)] + ["Zarbo sat\nZarbo ran\nWe met him. Quill left. It rained. Quill ran.", "Zarbo hid"])], DOCS)
+    # 16 million words in lines of their own, which add only the word "a" and their first
+    letter = lambda x: F.chr(x % 26 + 97)
+    many = spark.range(320).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("L"), letter(F.col("id")), letter(F.floor(F.col("id") / 26)), F.repeat(F.lit(" a"), 50_000)).alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
+    small, large = sentences.fit_model(docs), sentences.fit_model(docs.union(many))
+    assert {"Zarbo", "Quill"} & set(small.starts) == {"Zarbo"} and "Quill" in small.right and "zarbo" in small.right_any
+    assert set(large.starts) >= set(small.starts) and all(getattr(large, x).keys() >= getattr(small, x).keys() for x in ("left", "right", "right_any"))
+
+
+def test_words_as_a_mapping():
+    r = random.Random(5)
+    want = {"".join(r.choice("aβ字😀.") for _ in range(r.randrange(6))): r.random() for _ in range(500)}
+    got = sentences.Words(pa.chunked_array([pa.array(list(want)[:200], pa.string()), pa.array(list(want)[200:], pa.string())]), np.array(list(want.values())))
+    got = pickle.loads(pickle.dumps(got))
+    assert got == want and len(got) == len(want) and "b" not in got and got.get("b", 2.0) == 2.0 and got.get("b") is None
+    assert sentences.Words(pa.chunked_array([], pa.string()), np.array([])) == {}
+
+
 def test_batch_by_batch_against_brute_force(spark):
     """Labels and words come from the history alone; each batch meets it and the batches before, as all pairs do."""
     r = random.Random(12)
