@@ -11,13 +11,15 @@ Only gaps that can be a boundary are kept as events: after end marks and, in a s
 
 from __future__ import annotations
 
+import gc
 import math
 import re
-import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator, Mapping, Set
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -41,16 +43,16 @@ _OPEN = "“„‘«\"'(\\[{「『（［〈《【¿¡–—\\-"
 _WIDE = "。！？።፧။។៕։།"
 _END = ".!?…؟।۔;"
 #: A gap: an end mark with what closes after it, then white space, or nothing after a wide mark. French marks stand apart.
-_GAP = re.compile(rf"(?P<mark>[.!?…؟।۔;]+)(?P<shut>(?:[\s ]?»|[{_CLOSE}])*)(?P<more>(?:[\s ]?[!?…]+)*(?:[\s ]?»|[{_CLOSE}])*)(?P<space>[\s ]+)(?=\S)|[{_WIDE}]+[{_CLOSE[:-1]}]*[\s ]*(?=[^\s{_CLOSE[:-1]}、，])")
+_GAP = re.compile(
+    rf"[{_END}{_WIDE}](?:(?<=[{_END}])[{_END}]*(?:[\s ]?»|[{_CLOSE}])*(?:[\s ]?[!?…]+)*(?:[\s ]?»|[{_CLOSE}])*(?P<space>[\s ]+)(?=\S)|(?<=[{_WIDE}])[{_WIDE}]*[{_CLOSE[:-1]}]*[\s ]*(?=[^\s{_CLOSE[:-1]}、，]))"
+)
 _THAI_GAP = re.compile(r"(?<=\S)([\s ]+)(?=\S)")
 _THAI = re.compile(r"[฀-๿]")
 _WORD = re.compile(r"\S+")
-_FIGURES = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)) == "Nd")
-_MARKS = re.compile(r"(?:^|\s)[\W_]+(?:\s|$)")
 _ALNUM = re.compile(r"[^\W_]")
 _DIGIT = re.compile(r"\d+")
 _GREEK = re.compile(r"[Ͱ-Ͽ]")
-_TURN = re.compile(r"[a-zß-öø-ÿα-ωа-я][A-ZÀ-ÖØ-ÞΑ-ΩА-Я]")
+_TURN = re.compile(r"[A-ZÀ-ÖØ-ÞΑ-ΩА-Я](?<=[a-zß-öø-ÿα-ωа-я].)")
 _OPENERS = re.compile(rf"^[{_OPEN}\s]+")
 
 
@@ -137,26 +139,34 @@ def _dotted(left: str) -> bool:
 def gaps(line: str) -> list[tuple[int, int, str, str]]:
     """(end of the word before, start of the word after, word before, word after) of each gap that can be a boundary."""
     out = []
-    thai = not line.isascii() and bool(_THAI.search(line))
-    found = [(m.start("space"), m.end()) if m.group("space") is not None else (m.end() - (len(m[0]) - len(m[0].rstrip())), m.end()) for m in _GAP.finditer(line) if not (m.group("mark") or "").startswith(";") or _GREEK.search(line)]
-    if thai:
+    found = []
+    for m in _GAP.finditer(line):
+        a = m.start(1)
+        if a < 0:
+            a = m.start() + len(m[0].rstrip())
+        elif line[m.start()] == ";" and not _GREEK.search(line):
+            continue
+        found.append((a, m.end()))
+    wide = not line.isascii()
+    if wide and _THAI.search(line):
         have = {b for _, b in found}
         found = sorted(found + [(m.start(), m.end()) for m in _THAI_GAP.finditer(line) if m.end() not in have and (_THAI.match(line[m.end()]) or _THAI.search(line[max(0, m.start() - 3) : m.start()]))])
+    hard = wide and "\xa0" in line
     for a, b in found:
-        k = max(line.rfind(" ", 0, a), line.rfind("\xa0", 0, a)) + 1
+        k = (max(line.rfind(" ", 0, a), line.rfind("\xa0", 0, a)) if hard else line.rfind(" ", 0, a)) + 1
         left = line[k:a]
-        if left and not _says(left):  # a mark set apart goes with its word
+        if left and not left[0].isalnum() and not _says(left):  # a mark set apart goes with its word
             k = max(line.rfind(" ", 0, k - 1), line.rfind("\xa0", 0, k - 1)) + 1 if k > 1 else 0
             left = line[k:a]
-        if left[-2:-1] in _WIDE or left[-1:] in _WIDE or left[-3:-2] in _WIDE:
+        if wide and (left[-2:-1] in _WIDE or left[-1:] in _WIDE or left[-3:-2] in _WIDE):
             left = left[-4:]
         e = line.find(" ", b)
         e = len(line) if e < 0 else e
-        if e > b and not _says(line[b:e]):
+        if not line[b].isalnum() and not _says(line[b:e]):
             e = line.find(" ", e + 1)
             e = len(line) if e < 0 else e
-        right = line[b : min(e, b + 40)]
-        if left[-1:] in "”」』»\"" and left[-1:] and right:
+        right = line[b : e if e < b + 40 else b + 40]
+        if left[-1:] in "”」』»\"" and left and right:
             # In scripts without case what follows a closed quotation is its reporting clause.
             first = _OPENERS.sub("", right)[:1]
             if first.isalpha() and first.lower() == first.upper():
@@ -165,6 +175,18 @@ def gaps(line: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the cycle collector: nothing cyclic is made within, and it would walk through all that is held."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class Words(Mapping):
     """Words and their values in two sorted blocks: some twenty bytes a word, so that all words of a large table can be held."""
 
@@ -264,8 +286,6 @@ class HiddenEvents:
     def posteriors(self, scores: list[float], near: list[bool]) -> list[float]:
         """Forward-backward over the events of a line; `near[i]`: gap i is one word after gap i - 1."""
         n = len(scores)
-        if n == 1 or not any(near):  # without a transition that tells, forward-backward gives these
-            return [1 / (1 + math.exp(-max(-40.0, min(40.0, s)))) for s in scores]
         w = [math.exp(max(-40.0, min(40.0, s))) for s in scores]
         e = math.exp(self.again)
         fwd = [(1.0, w[0])]
@@ -286,15 +306,27 @@ class HiddenEvents:
                 back = (x / z, y / z)
         return out
 
-    def split(self, line: str) -> list[tuple[int, int]]:
-        """The sentences of one line as (start, end), without surrounding white space."""
+    def split(self, line: str, memo: dict[tuple[str, str, bool], float] | None = None) -> list[tuple[int, int]]:
+        """The sentences of one line as (start, end), without surrounding white space. `memo` keeps scores between lines."""
         found = gaps(line)
-        cuts = []
-        if found:
-            plain = caseless(line)
-            near = [i > 0 and found[i][0] - found[i - 1][1] < 40 and " " not in line[found[i - 1][1] : found[i][0]] and found[i][2][-1:] not in "!?。！？”」」”" for i in range(len(found))]
-            post = self.posteriors([self.score(l, r, plain) for _, _, l, r in found], near)
-            cuts = [(a, b) for (a, b, _, _), p in zip(found, post) if p > 0.5]
+        if not found:
+            text = line.strip()
+            at = len(line) - len(line.lstrip())
+            return [(at, at + len(text))] if _ALNUM.search(text) else []
+        plain, memo = caseless(line), {} if memo is None else memo
+        scores, near, at = [], [], -40
+        for a, b, left, right in found:
+            key = (left, right, plain)
+            w = memo.get(key)
+            if w is None:
+                w = memo[key] = self.score(left, right, plain)
+            scores.append(w)
+            near.append(a - at < 40 and left[-1:] not in "!?。！？”」" and " " not in line[at:a])
+            at = b
+        if True in near:
+            cuts = [(x[0], x[1]) for x, p in zip(found, self.posteriors(scores, near)) if p > 0.5]
+        else:  # without a transition that tells, a posterior is over one half where its log-odds are over 0
+            cuts = [(x[0], x[1]) for x, w in zip(found, scores) if w > 0]
         out, at = [], 0
         for a, b in [*cuts, (len(line), len(line))]:
             start, end = at, a
@@ -316,52 +348,115 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def counted(lines: Iterable[str]) -> Counter:
+class Events:
     """The events of distinct lines, no labels, only line breaks and marks: (kind, word, shape, word after, shape after, mark) and how often.
 
     Kinds: `start`, a word that begins a line; `mid`, one after a gap that can't be a boundary; `said`, the same by the Thai
     rule; `start_any`, `mid_any`, both without case; `end`, a word that ends a line; `gap`, the words around an open gap.
+
+    Words are counted as they stand, and known by key and shape when the counts are read.
     """
-    out: Counter = Counter()
-    raw: dict[bool, Counter] = {False: Counter(), True: Counter()}
-    for line in lines:
-        plain, thai = caseless(line), not line.isascii() and bool(_THAI.search(line))
-        words = line.split()
-        first = words[0] if _says(words[0]) or len(words) == 1 else line[: line.find(words[1], len(words[0])) + len(words[1])]
-        first = first[:40]
-        k, s = _right_key(first), _right_shape(first)
-        out["start_any", k.lower(), "", "", "", ""] += 1
-        if not plain or s[-1:] in "oasl9T-":
-            out["start", k, s, "", "", ""] += 1
-        last = words[-1] if _ALNUM.search(words[-1]) or len(words) == 1 else line[line.rfind(words[-2], 0, len(line) - len(words[-1])) :]
-        last = last[-4:] if any(c in _WIDE for c in last) else last
-        out["end", _left_key(last), _left_shape(last), "", "", ""] += 1
-        cand = gaps(line)
-        if _MARKS.search(line):  # marks that stand alone, and what follows them, are no words amid a sentence
-            at, say = {b for _, b, _, _ in cand}, [_says(w) for w in words]
-            starts = [m.start() for m in _WORD.finditer(line)]
-            raw[plain].update(w for b, w, x, y in zip(starts[1:], words[1:], say, say[1:]) if x and y and b not in at)
-        else:  # all but the first word, less those after gaps
-            raw[plain].update(words[1:])
-            for _, b, _, _ in cand:
-                if line[b - 1].isspace():
-                    raw[plain][line[b:].split(None, 1)[0]] -= 1
-        for _, _, left, right in cand:
-            ls, rs, rk = _left_shape(left), _right_shape(right), _right_key(right)
-            if thai and (ls[:1] == "9" or rs[-1:] == "9" or rs[:2] == "qT"):  # a number and its unit, what is said
-                out["said", rk, rs, "", "", ""] += 1
-                out["mid_any", rk, "", "", "", ""] += 1
-            if not plain or rs[-1:] in "oasl9T-":
-                out["gap", _left_key(left), ls, rk, rs, "." if _dotted(left) else ""] += 1
-    for plain, seen in raw.items():
-        for w, n in seen.items():
-            if not n:
+
+    def __init__(self) -> None:
+        both = lambda: {False: Counter(), True: Counter()}
+        self.firsts, self.words, self.after = both(), both(), both()  # by whether case tells nothing
+        self.around = {(p, t): Counter() for p in (False, True) for t in (False, True)}  # and whether the line is Thai
+        self.lasts: Counter = Counter()
+
+    def __len__(self) -> int:
+        return len(self.lasts) + sum(len(n) for x in (self.firsts, self.words, self.after, self.around) for n in x.values())
+
+    def add(self, lines: list[str]) -> None:
+        """Count lines without white space around them. Words are cut and numbered in Arrow, a batch at a time."""
+        if not lines:
+            return
+        cut_ = pc.utf8_split_whitespace(pa.array(lines, pa.string()))
+        coded = cut_.flatten().dictionary_encode()
+        words, codes, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut_.offsets.to_numpy() - cut_.offsets[0].as_py()
+        mute = np.array([not _says(w) for w in words])
+        plain = np.array([caseless(x) for x in lines])
+        # Marks that stand alone, and what follows them, are no words amid a sentence; all others but the first of a line are, less those after gaps.
+        said = ~mute[codes]
+        amid = said.copy()
+        amid[1:] &= said[:-1]
+        amid[at[:-1]] = False
+        long = np.diff(at) > 1
+        first, last = codes[at[:-1]], codes[at[1:] - 1]
+        whole, ends = ~(mute[first] & long), ~(mute[last] & long)
+        for p in (False, True):
+            self._count(self.firsts[p], words, first[whole & (plain == p)])
+            self._count(self.words[p], words, codes[amid & np.repeat(plain == p, np.diff(at))])
+        self._count(self.lasts, words, last[ends])
+        # A mark that stands alone at either end goes with the word beside it.
+        for i in np.flatnonzero(~whole):
+            line, x, y = lines[i], words[first[i]], words[codes[at[i] + 1]]
+            self.firsts[bool(plain[i])][line[: line.find(y, len(x)) + len(y)]] += 1
+        for i in np.flatnonzero(~ends):
+            line, x, y = lines[i], words[last[i]], words[codes[at[i + 1] - 2]]
+            self.lasts[line[line.rfind(y, 0, len(line) - len(x)) :]] += 1
+        odd = np.bincount(np.repeat(np.arange(len(lines)), np.diff(at)), mute[codes], len(lines)) > 0
+        after: dict[bool, list] = {False: [], True: []}
+        around: dict[tuple[bool, bool], list] = {k: [] for k in self.around}
+        for line, p, o in zip(lines, plain.tolist(), odd.tolist()):
+            cand = gaps(line)
+            if not cand:
                 continue
-            k = _right_key(w)
-            out["mid_any", k.lower(), "", "", "", ""] += n
-            if not plain:
-                out["mid", k, _right_shape(w), "", "", ""] += n
-    return out
+            around[p, not line.isascii() and bool(_THAI.search(line))] += [x[2:] for x in cand]
+            for _, b, _, _ in cand:
+                if line[b - 1].isspace() and not (o and self._apart(line, b)):
+                    after[p].append(_WORD.match(line, b)[0])
+        for counts, seen in ((self.after, after), (self.around, around)):
+            for k, x in seen.items():
+                counts[k].update(x)
+
+    @staticmethod
+    def _apart(line: str, b: int) -> bool:
+        """Whether the word at `b`, or the one before it, is a mark that stands alone."""
+        return not _says(_WORD.match(line, b)[0]) or not _says(line[:b].split()[-1])
+
+    @staticmethod
+    def _count(counts: Counter, words: list[str], codes: np.ndarray) -> None:
+        n = np.bincount(codes, minlength=len(words))
+        for i in np.flatnonzero(n).tolist():
+            counts[words[i]] += int(n[i])
+
+    def read(self) -> Counter:
+        out: Counter = Counter()
+        for plain, seen in self.firsts.items():
+            for w, n in seen.items():
+                k, s = _right_key(w[:40]), _right_shape(w[:40])
+                out["start_any", k.lower(), "", "", "", ""] += n
+                if not plain or s[-1:] in "oasl9T-":
+                    out["start", k, s, "", "", ""] += n
+        for w, n in self.lasts.items():
+            w = w[-4:] if not w.isascii() and any(c in _WIDE for c in w) else w
+            out["end", _left_key(w), _left_shape(w), "", "", ""] += n
+        for (plain, thai), seen in self.around.items():
+            for (left, right), n in seen.items():
+                ls, rs, rk = _left_shape(left), _right_shape(right), _right_key(right)
+                if thai and (ls[:1] == "9" or rs[-1:] == "9" or rs[:2] == "qT"):  # a number and its unit, what is said
+                    out["said", rk, rs, "", "", ""] += n
+                    out["mid_any", rk, "", "", "", ""] += n
+                if not plain or rs[-1:] in "oasl9T-":
+                    out["gap", _left_key(left), ls, rk, rs, "." if _dotted(left) else ""] += n
+        for plain, seen in self.words.items():
+            less = self.after[plain]
+            for w, n in seen.items():
+                n -= less.get(w, 0)
+                if not n:
+                    continue
+                k = _right_key(w)
+                out["mid_any", k.lower(), "", "", "", ""] += n
+                if not plain:
+                    out["mid", k, _right_shape(w), "", "", ""] += n
+        return out
+
+
+def counted(lines: Iterable[str]) -> Counter:
+    """The events of some lines."""
+    events = Events()
+    events.add(list(lines))
+    return events.read()
 
 
 def line_key(line: str) -> str:
@@ -433,9 +528,9 @@ def right_model(shapes: list[tuple], all_: tuple[float, float]) -> HiddenEvents:
     return out
 
 
-def begins(s: float, m: float) -> bool:
-    """Whether a word of so many starts and mids is one that begins lines."""
-    return s >= 2 and s >= ABSENT * (s + m)
+def begins(s: Any, m: Any) -> Any:
+    """Whether a word of so many starts and mids, numbers or columns, is one that begins lines."""
+    return (s >= 2) & (s >= ABSENT * (s + m))
 
 
 def right_value(out: HiddenEvents, s: float, m: float, total: float, rs: str | None, least: float) -> float | None:
@@ -485,19 +580,23 @@ def fit_model(documents: DataFrame, least: int = LEAST_SEEN) -> HiddenEvents:
     Sums by shape come to the driver, and of words above the floor their values, computed in tasks.
     """
     rows = documents.where("text is not null and text <> ''").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    key = F.translate(F.lower(F.trim("line")), _FIGURES, "")
+    key = F.regexp_replace(F.lower(F.trim("line")), r"\p{Nd}+", "")
     lines = rows.groupBy(F.xxhash64(key).alias("h"), F.length(key).alias("l")).agg(F.min(F.struct("id", "pos", "line"))["line"].alias("line")).select("line")
     fields = ["kind", "a", "sa", "b", "sb", "dot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
+        events = Events()
         for b in batches:
-            n.update(counted(x.strip() for x in b.column(0).to_pylist() if _ALNUM.search(x)))
-            if len(n) > MOST_HELD:
-                yield _batch(n, fields)
-                n = Counter()
-        if n:
-            yield _batch(n, fields)
+            with _uncollected():
+                events.add([x.strip() for x in b.column(0).to_pylist() if _ALNUM.search(x)])
+            if len(events) > MOST_HELD:
+                with _uncollected():
+                    held, events = _batch(events.read(), fields), Events()
+                yield held
+        if len(events):
+            with _uncollected():
+                held = _batch(events.read(), fields)
+            yield held
 
     t = cut(lines.mapInArrow(run, ", ".join(f"{f} string" for f in fields) + ", n long").groupBy(*fields).agg(F.sum("n").alias("n")))
     # Sums of words, and of their shapes; a word's shape is its commonest.
@@ -513,7 +612,8 @@ def fit_model(documents: DataFrame, least: int = LEAST_SEEN) -> HiddenEvents:
     all_ = anys.agg(F.sum("start").alias("start"), F.sum("mid").alias("mid")).first()
     all_ = (all_.start or 0, all_.mid or 0)
     out, small = (right_model([(x, *v) for x, v in shapes.items()], all_) for _ in range(2))
-    out.starts = _values(words.where("start >= 2").select("w", "start", "mid"), lambda s, m: 1.0 if begins(s, m) else None).keys()
+    starts = words.where(begins(F.col("start"), F.col("mid"))).select("w").toArrow()
+    out.starts = Words(starts.column(0), np.ones(starts.num_rows)).keys()
     out.right = _values(words.where("gap > 0").select("w", "start", "mid", "gap", "gap_shape"), lambda *x: right_value(small, *x, least))
     out.right_any = _values(anys.where(F.col("start") + F.col("mid") >= least).select("a", "start", "mid"), lambda s, m: any_value(small, s, m))
     right = documents.sparkSession.sparkContext.broadcast(out)
@@ -521,11 +621,13 @@ def fit_model(documents: DataFrame, least: int = LEAST_SEEN) -> HiddenEvents:
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, memo = right.value, {}
         for b in batches:
-            kind, a, sa, k, sk, dot, n = (c.to_pylist() for c in b.columns)
-            p = [1.0 if x == "end" else memo[y] if (y := (w, s, d)) in memo else memo.setdefault(y, m.chance(*y)) for x, w, s, d in zip(kind, k, sk, dot)]
+            kind, k, sk, dot = (b.column(i).to_pylist() for i in (0, 3, 4, 5))
+            p = np.array([1.0 if x == "end" else memo[y] if (y := (w, s, d)) in memo else memo.setdefault(y, m.chance(*y)) for x, w, s, d in zip(kind, k, sk, dot)], np.float64)
             if len(memo) > MOST_HELD:
                 memo.clear()
-            yield pa.RecordBatch.from_pydict({"w": pa.array(a, pa.string()), "s": pa.array(sa, pa.string()), "yes": pa.array([x * c for x, c in zip(p, n)], pa.float64()), "no": pa.array([(1 - x) * c for x, c in zip(p, n)], pa.float64()), "n": b.column(6), "gap": pa.array([c * (x == "gap") for x, c in zip(kind, n)], pa.int64())})
+            n = b.column(6).to_numpy()
+            inner = np.array([x == "gap" for x in kind], bool)
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(p * n), pa.array((1 - p) * n), b.column(6), pa.array(n * inner)], names=["w", "s", "yes", "no", "n", "gap"])
 
     judged = t.where("kind in ('end', 'gap')").mapInArrow(judge, "w string, s string, yes double, no double, n long, gap long")
     both = cut(judged.groupBy("w", "s").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"), F.sum("n").alias("n"), F.sum("gap").alias("gap")))
@@ -567,23 +669,31 @@ def sentences(documents: DataFrame, model: HiddenEvents | None = None) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         memo: dict[str, list[tuple[int, int]]] = {}
+        scores: dict[tuple[str, str, bool], float] = {}
         for b in batches:
+            if len(scores) > MOST_HELD:
+                scores.clear()
             ids, starts, ends = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = 0
-                for line in text.split("\n"):
-                    got = memo.get(line)
-                    if got is None:
-                        got = m.split(line)
-                        if len(line) < 200:
-                            if len(memo) > 50_000:
-                                memo.clear()
-                            memo[line] = got
-                    for s, e in got:
-                        ids.append(doc)
-                        starts.append(at + s)
-                        ends.append(at + e)
-                    at += len(line) + 1
+            with _uncollected():
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    at = 0
+                    for line in text.split("\n"):
+                        got = memo.get(line)
+                        if got is None:
+                            got = m.split(line, scores)
+                            if len(line) < 200:
+                                if len(memo) > 50_000:
+                                    memo.clear()
+                                memo[line] = got
+                        if len(got) == 1:
+                            ids.append(doc)
+                            starts.append(at + got[0][0])
+                            ends.append(at + got[0][1])
+                        elif got:
+                            ids += [doc] * len(got)
+                            starts += [at + x[0] for x in got]
+                            ends += [at + x[1] for x in got]
+                        at += len(line) + 1
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], schema=schema)
 
     rows = documents.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")

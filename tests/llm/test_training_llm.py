@@ -376,6 +376,30 @@ def test_sentence_words_are_known_at_any_size(spark):
     assert set(large.starts) >= set(small.starts) and all(getattr(large, x).keys() >= getattr(small, x).keys() for x in ("left", "right", "right_any"))
 
 
+def test_sentence_lines_equal_but_for_any_figures(spark):
+    texts = [f"The old mill sold {x} chairs. Nobody came." for x in ("7", "٣", "𝟏", "𝟐𝟑", "𑁧")]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], DOCS)
+    got, want = sentences.fit_model(docs), sentences.fit(texts)
+    assert got.right_shape == want.right_shape and got.left_shape == want.left_shape
+
+
+def test_sentence_events_word_by_word():
+    r = random.Random(6)
+    tokens = ["a", "Bo", "c.", "D!", "–", "“Hm.”", "7", "x\xa0»", "字。字", "?", "\u3000", "ab\tc", "Ü…", "_"]
+    lines = [x for _ in range(300) if (x := " ".join(r.choice(tokens) for _ in range(r.randrange(1, 9))).strip()) and sentences._ALNUM.search(x)]
+    want = Counter()
+    for line in lines:
+        at = {b for _, b, _, _ in sentences.gaps(line)}
+        found = [(m.start(), m[0]) for m in re.finditer(r"\S+", line)]
+        for (_, x), (b, y) in zip(found, found[1:]):
+            if b not in at and sentences._ALNUM.search(x) and sentences._ALNUM.search(y):
+                want[sentences._right_key(y).lower()] += 1
+    got = sentences.counted(lines)
+    one_by_one = sum((sentences.counted([x]) for x in lines), Counter())
+    assert {k[1]: n for k, n in got.items() if k[0] == "mid_any"} == want and got == one_by_one
+    assert sum(n for k, n in got.items() if k[0] == "start_any") == sum(n for k, n in got.items() if k[0] == "end") == len(lines)
+
+
 def test_words_as_a_mapping():
     r = random.Random(5)
     want = {"".join(r.choice("aβ字😀.") for _ in range(r.randrange(6))): r.random() for _ in range(500)}
