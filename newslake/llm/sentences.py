@@ -35,6 +35,7 @@ LEAST_SEEN = 3
 ABSENT = 0.01
 #: Distinct events that a task holds, about.
 MOST_HELD = 200_000
+MOST_BYTES = 64_000_000
 RARE = 6
 OFTEN = 5
 
@@ -362,6 +363,10 @@ class Events:
         self.firsts, self.words, self.after = both(), both(), both()  # by whether case tells nothing
         self.around = {(p, t): Counter() for p in (False, True) for t in (False, True)}  # and whether the line is Thai
         self.lasts: Counter = Counter()
+        self.bytes = 0  # of the words of all batches, at most; where none are set apart, a word is as long as its line
+
+    def full(self) -> bool:
+        return len(self) > MOST_HELD or self.bytes > MOST_BYTES
 
     def __len__(self) -> int:
         return len(self.lasts) + sum(len(n) for x in (self.firsts, self.words, self.after, self.around) for n in x.values())
@@ -373,6 +378,7 @@ class Events:
         cut_ = pc.utf8_split_whitespace(pa.array(lines, pa.string()))
         coded = cut_.flatten().dictionary_encode()
         words, codes, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut_.offsets.to_numpy() - cut_.offsets[0].as_py()
+        self.bytes += coded.dictionary.nbytes
         mute = np.array([not _says(w) for w in words])
         plain = np.array([caseless(x) for x in lines])
         # Marks that stand alone, and what follows them, are no words amid a sentence; all others but the first of a line are, less those after gaps.
@@ -420,8 +426,8 @@ class Events:
         for i in np.flatnonzero(n).tolist():
             counts[words[i]] += int(n[i])
 
-    def read(self) -> Counter:
-        out: Counter = Counter()
+    def read(self) -> dict[tuple[str, ...], int]:
+        out: dict[tuple[str, ...], int] = defaultdict(int)
         for plain, seen in self.firsts.items():
             for w, n in seen.items():
                 k, s = _right_key(w[:40]), _right_shape(w[:40])
@@ -456,7 +462,7 @@ def counted(lines: Iterable[str]) -> Counter:
     """The events of some lines."""
     events = Events()
     events.add(list(lines))
-    return events.read()
+    return Counter(events.read())
 
 
 def line_key(line: str) -> str:
@@ -589,7 +595,7 @@ def fit_model(documents: DataFrame, least: int = LEAST_SEEN) -> HiddenEvents:
         for b in batches:
             with _uncollected():
                 events.add([x.strip() for x in b.column(0).to_pylist() if _ALNUM.search(x)])
-            if len(events) > MOST_HELD:
+            if events.full():
                 with _uncollected():
                     held, events = _batch(events.read(), fields), Events()
                 yield held
@@ -651,7 +657,7 @@ def _values(rows: DataFrame, value: Callable[..., float | None]) -> Words:
     return Words(t.column(0), t.column(1).to_numpy())
 
 
-def _batch(n: Counter, fields: list[str]) -> pa.RecordBatch:
+def _batch(n: dict[tuple[str, ...], int], fields: list[str]) -> pa.RecordBatch:
     cols = zip(*n) if n else [()] * len(fields)
     return pa.RecordBatch.from_pydict({f: pa.array(list(c), pa.string()) for f, c in zip(fields, cols)} | {"n": pa.array(list(n.values()), pa.int64())})
 

@@ -400,6 +400,13 @@ def test_sentence_events_word_by_word():
     assert sum(n for k, n in got.items() if k[0] == "start_any") == sum(n for k, n in got.items() if k[0] == "end") == len(lines)
 
 
+def test_held_sentence_events_are_bounded():
+    events = sentences.Events()
+    for i in range(40):
+        events.add(["字" * 800_000 + chr(0x4E00 + i)])
+    assert events.full() and len(events) < 100
+
+
 def test_words_as_a_mapping():
     r = random.Random(5)
     want = {"".join(r.choice("aβ字😀.") for _ in range(r.randrange(6))): r.random() for _ in range(500)}
